@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PROFILE, TEXT_PROFILE, PER_LANG = 400, 300, 3000
 UNKNOWN = "und"
@@ -115,7 +116,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(*names)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

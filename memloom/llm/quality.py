@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import bytetext as bt
 
 COMMON, RARE = 64, 2000
-MIN_CLASS_WORDS, MIN_COMMON_WORDS = 10, 50
-MAX_CLASS, MAX_COMMON = 0.22, 0.45
+MIN_CLASS_WORDS, MIN_COMMON_WORDS = 10, 80
+MAX_CLASS, MAX_COMMON = 0.28, 0.52
 
 CLASSES = 7  # lower, upper, digit, space, other letter, sentence mark, symbol
 _CLASS = np.full(256, 6, np.int64)
