@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op5_embedding_dedup
 from .langid import op1_language_id
+from .licenses import op3_license_scan
 from .minhash import op9_minhash
+from .mixing import op4_mixing
 from .packing import op10_packing
 from .quality import op8_quality_rules
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_token_counts, op7_suffix_dedup, op8_quality_rules, op9_minhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op4_mixing, op5_embedding_dedup, op6_token_counts, op7_suffix_dedup, op8_quality_rules, op9_minhash, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
