@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embedding_dedup import op5_embedding_dedup
+from .katz import op2_katz
 from .langid import op1_language_id
 from .licenses import op3_license_scan
 from .minhash import op9_minhash
@@ -12,5 +13,5 @@ from .quality import op8_quality_rules
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op4_mixing, op5_embedding_dedup, op6_token_counts, op7_suffix_dedup, op8_quality_rules, op9_minhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz, op3_license_scan, op4_mixing, op5_embedding_dedup, op6_token_counts, op7_suffix_dedup, op8_quality_rules, op9_minhash, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
