@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,7 +42,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
         _watched.add(base)
         atexit.register(_clean, spark, base)
     path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")  # the written table replaces the shuffles that made it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -24,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import bytetext as bt
 from . import scratch
@@ -38,6 +39,14 @@ SEGMENT = 1 << 19
 _POS = np.uint64(20)
 
 
+def _zip(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of non-negative integers by the difference cover {1, 2} modulo 3."""
     n = len(s)
@@ -190,8 +199,11 @@ def _blob_rows(part: np.ndarray, cols: list[np.ndarray], names: list[str]) -> pa
     return pa.RecordBatch.from_arrays(out, ["part", *names])
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans) with the covered spans of docs(doc_id, text) that hold repeated strings: pairs of 64-bit start and end."""
+def spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """(__id, spans) with the covered spans of docs(doc_id, text) that hold repeated strings: pairs of 64-bit start and end.
+
+    packed has the same texts, compressed, as __id and __text. Its shuffle serves this plan and the caller's.
+    """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = scratch.parts(spark, total, 8 << 20)
@@ -247,7 +259,7 @@ def spans(docs: DataFrame) -> DataFrame:
             order = kept[np.argsort(part, kind="stable")]
             part = np.sort(part)
             edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-            rows = [(int(part[a]), hh[i].tobytes(), dd[i].tobytes(), ss[i].tobytes(), np.array([len(own[k]) for k in i], np.int64).tobytes(), b"".join(own[k] for k in i), None) for a, z in zip(edge[:-1], edge[1:], strict=True) if len(i := order[a:z])]
+            rows = [(int(part[a]), hh[i].tobytes(), dd[i].tobytes(), ss[i].tobytes(), np.array([len(own[k]) for k in i], np.int64).tobytes(), _zip(b"".join(own[k] for k in i)), None) for a, z in zip(edge[:-1], edge[1:], strict=True) if len(i := order[a:z])]
             if covered:
                 rows.append((int(covered[0][0]) % n_parts, None, None, None, None, None, np.array(covered, np.int64).tobytes()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -256,8 +268,8 @@ def spans(docs: DataFrame) -> DataFrame:
                 x.clear()
 
         for b in batches:
-            for d, t, ss, cc, hh in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "start", "count", "h")), strict=True):
-                data = (t or "").encode()
+            for d, t, ss, cc, hh in zip(*(b.column(c).to_pylist() for c in ("__id", "__text", "__start", "__count", "__h")), strict=True):
+                data = _unzip(t)
                 s, c = np.frombuffer(ss, np.int64).tolist(), np.frombuffer(cc, np.int16).tolist()
                 h += np.frombuffer(hh, np.int64).tolist()
                 doc += [d] * len(s)
@@ -275,7 +287,7 @@ def spans(docs: DataFrame) -> DataFrame:
             part = b.column("part").to_numpy()
             for p in np.unique(part):
                 own = b.filter(pa.array(part == p))
-                col = {c: b"".join(x for x in own.column(c).to_pylist() if x) for c in ("h", "doc", "start", "size", "bytes", "covered")}
+                col = {c: b"".join((_unzip(x) if c == "bytes" else x) for x in own.column(c).to_pylist() if x) for c in ("h", "doc", "start", "size", "bytes", "covered")}
                 h, doc, start, size = np.frombuffer(col["h"], np.uint64), *(np.frombuffer(col[c], np.int64) for c in ("doc", "start", "size"))
                 end = np.cumsum(size)
                 covered = compare_runs(h, doc, start, [col["bytes"][z - k : z] for z, k in zip(end.tolist(), size.tolist(), strict=True)])
@@ -293,11 +305,12 @@ def spans(docs: DataFrame) -> DataFrame:
             ids, start, end = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "end"))
             both = np.stack([start, end], 1)
             edge = np.append(np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)), len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[edge[:-1]], pa.int64()), pa.array([both[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[edge[:-1]], pa.int64()), pa.array([both[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["__id", "__spans"])
 
-    found = docs.join(asked, "doc_id", "left").where("h is not null").mapInArrow(texts, "part long, h binary, doc binary, start binary, size binary, bytes binary, covered binary")
+    asked = asked.select(F.col("doc_id").alias("__id"), F.col("start").alias("__start"), F.col("count").alias("__count"), F.col("h").alias("__h"))
+    found = packed.join(asked, "__id").mapInArrow(texts, "part long, h binary, doc binary, start binary, size binary, bytes binary, covered binary")
     found = found.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(compare, "doc_id long, start long, end long")
-    return found.repartition(n_parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, "doc_id long, spans binary")
+    return found.repartition(n_parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, "__id long, __spans binary")
 
 
 def covered_mask(n: int, packed: bytes | None) -> np.ndarray:
@@ -328,18 +341,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
         docs = scratch.save(docs.sparkSession.createDataFrame(numbered, StructType(list(docs.schema)).add("__id", "long")), "numbered")
     plain = docs.select(F.col("__id").alias("doc_id"), F.col(text_col).alias("text"))
-    found = spans(plain.where("octet_length(text) >= %d" % LENGTH))
-    own = docs.join(found.withColumnRenamed("doc_id", "__id"), "__id", "left").select(*names, F.col("spans").alias("__spans"))
-    at = names.index(text_col)
+    others = [c for c in names if c != text_col]
+    kind = StructType([*(f for f in docs.schema if f.name in others), StructField("__id", LongType(), False), StructField("__text", BinaryType())])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [None if t is None else _zip(t.encode()) for t in b.column(len(others) + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others) + 1], pa.array(text, pa.binary())], [*others, "__id", "__text"])
+
+    # An id that cannot be null, and no filter: both joins read one shuffle of the texts.
+    packed = docs.select(*others, "__id", text_col).mapInArrow(squeeze, kind)
+    found = spans(plain.where("octet_length(text) >= %d" % LENGTH), packed)
+    own = packed.join(found, "__id", "left").select(*others, "__text", "__spans")
     extra = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                data = (t or "").encode()
+            texts = [None if t is None else _unzip(t) for t in b.column("__text").to_pylist()]
+            for t, s in zip(texts, b.column("__spans").to_pylist(), strict=True):
+                data = t or b""
                 if not s:
-                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), t))
+                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), None if t is None else data.decode()))
                     continue
                 gone, raw = covered_mask(len(data), s), np.frombuffer(data, np.uint8)
                 edges = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
@@ -350,10 +373,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((len(data), int(gone.sum()), edges, hashlib.sha256(raw[~gone].tobytes()).hexdigest(), text))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*names, *extra])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array([None if t is None else t.decode() for t in texts], pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*others, text_col, *extra])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__id") + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return own.mapInArrow(cut, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in [*others, text_col] for f in docs.schema if f.name == c) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    return own.mapInArrow(cut, schema).select(*names, *extra)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
