@@ -78,12 +78,11 @@ def _text(s: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def _repaired(s: pd.Series) -> pd.Series:
-    return s.map(_text)
-
-
 def repaired(s: Column) -> Column:
     """JSON text of a lenient reading, or null. Texts that are JSON never leave the JVM's parser for Python's."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(_text)
+
     strict = F.to_json(F.try_parse_json(s))
-    return F.coalesce(strict, _repaired(F.when(F.try_parse_json(s).isNull(), s)))
+    return F.coalesce(strict, F.pandas_udf(run, "string")(F.when(F.try_parse_json(s).isNull(), s)))

@@ -34,10 +34,9 @@ def expand(hits: DataFrame, tiles: DataFrame, expansion: Expansion, stride: int,
 
         stop_tokens = [[t for t in re.findall(r"\s|\w+|[^\w\s]", s)] for s in expansion.limit.value]
     lo = F.greatest("section_from", "first_seq")
-    h = hits.withColumn("__key", F.xxhash64(*[F.col(c) for c in hits.columns if c in ("mem_id", "section_id", "from_seq", "query_id", "chunk_id")]))
+    h = hits
     h = h.withColumn("__a", F.greatest(F.col("from_seq") - expansion.least, lo)).withColumn("__b", F.least(F.col("to_seq") + expansion.least, F.col("section_to")))
-    h = h.withColumn("__A", F.greatest(F.col("from_seq") - expansion.most, lo)).withColumn("__B", F.least(F.col("to_seq") + expansion.most, F.col("section_to")))
-    h = h.withColumnsRenamed({"__A": "__lo", "__B": "__hi"})
+    h = h.withColumn("__lo", F.greatest(F.col("from_seq") - expansion.most, lo)).withColumn("__hi", F.least(F.col("to_seq") + expansion.most, F.col("section_to")))
     need = h.select(*hits.columns, "__a", "__b", "__lo", "__hi", F.explode(F.sequence(F.floor((F.col("__lo") - F.col("section_from")) / stride), F.floor((F.col("__hi") - 1 - F.col("section_from")) / stride))).alias("chunk_no_"))
     t = tiles.select("mem_id", "section_id", F.col("chunk_no").alias("chunk_no_"), F.slice("tokens", 1, stride).alias("__tile"))
     keys = [*hits.columns, "__a", "__b", "__lo", "__hi"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,27 +42,24 @@ def nearest(store: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
                 return
             for b in batches:
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-                order = np.argsort(ids, kind="stable")
-                ids, v = ids[order], v[order]
                 if not len(ids):
                     continue
-                for j in range(0, len(q_ids), 512):
-                    x = q[j : j + 512]
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                order = np.argsort(ids, kind="stable")
+                ids, v = ids[order], v[order]
+                first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+                for j in range(0, len(q_ids), 256):
+                    x = q[j : j + 256]
                     d = np.maximum(0, (x * x).sum(1)[:, None] + (v * v).sum(1) - 2 * x @ v.T)
-                    # Several vectors of an id may crowd out others, so the k-th distance is that of the k-th distinct id.
-                    best = np.argsort(d, axis=1, kind="stable")
-                    rows_q, rows_v = [], []
-                    for r in range(len(x)):
-                        take = best[r, :k]
-                        if len(np.unique(ids[take])) < min(k, len(ids)):
-                            _, first = np.unique(ids[best[r]], return_index=True)
-                            take = best[r][np.sort(first)[:k]]
-                        rows_q.append(np.full(len(take), r))
-                        rows_v.append(take)
-                    r, t = np.concatenate(rows_q), np.concatenate(rows_v)
-                    exact = ((x[r] - v[t]) ** 2).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[j : j + 512][r]), pa.array(ids[t]), pa.array(exact)], ["q", "id", "d"])
+                    d = np.minimum.reduceat(d, first, axis=1) if len(first) < len(ids) else d
+                    m = min(k, len(first))
+                    last = np.partition(d, m - 1, axis=1)[:, m - 1]
+                    r, t = np.nonzero(d <= last[:, None] + 1e-8)
+                    near, own = d[r, t], ids[first[t]]
+                    order = np.lexsort((own, np.round(near, 9), r))
+                    r, near, own = r[order], near[order], own[order]
+                    keep = np.arange(len(r)) - np.searchsorted(r, r) < m
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[j : j + 256][r[keep]]), pa.array(own[keep]), pa.array(near[keep])], ["q", "id", "d"])
 
         got = store.where(f"{id_col} is not null and {vector_col} is not null").select(F.col(id_col).cast("long"), vector_col).mapInArrow(scan, "q long, id long, d double")
         found = got if found is None else found.unionByName(got)
@@ -71,12 +69,19 @@ def nearest(store: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
 
 
 def embed(texts: DataFrame, tokens_col: str = "tokens", dim: int = 256, out: str = "embedding") -> DataFrame:
-    """Hashed bag of lower-case tokens, of unit length; an empty text is zero. The default embedder, all in the JVM."""
+    """Hashed bag of lower-case tokens, of unit length; an empty text is zero. The default embedder: hashed in the JVM, counted in Arrow batches."""
     words = F.filter(F.col(tokens_col), lambda t: F.length(F.trim(t)) > 0)
-    at = F.transform(words, lambda t: F.pmod(F.xxhash64(F.lower(t)), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return texts.withColumn("__counts", counts).withColumn("__norm", F.sqrt(F.aggregate("__counts", F.lit(0.0), lambda s, x: s + x * x))).withColumn(out, F.transform("__counts", lambda x: (x / F.greatest(F.col("__norm"), F.lit(1e-12))).cast("float"))).drop("__counts", "__norm")
+    places = F.transform(words, lambda t: F.pmod(F.xxhash64(F.lower(t)), F.lit(dim)).cast("int"))
+
+    def count(places: pd.Series) -> pd.Series:
+        x = np.zeros((len(places), dim), np.float32)
+        for row, at in zip(x, places, strict=True):
+            if at is not None:
+                np.add.at(row, at, 1)
+        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+        return pd.Series(list(x))
+
+    return texts.withColumn(out, F.pandas_udf(count, "array<float>")(places))
 
 
 def same(a: DataFrame, b: DataFrame) -> bool:

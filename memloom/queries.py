@@ -2,5 +2,368 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+from .config import Decay, Expansion, MemoryConfig
+from .functions import jsonfix
+from .functions import scores as S
+from .functions import text as T
+from .operators import ingest, passages, vectors
+from .plans import agent, evaluate, retrieve
+from .sources import readers
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+C, STRIDE = 24, 12
+NOW = 2_000_000_000.0
+RE = r"(\s|[\p{L}\p{N}_\p{M}]+|[^\s\p{L}\p{N}_\p{M}])"
+TOK = f"regexp_extract_all(coalesce(text, ''), '{RE}', 1)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Vectors: every id divisible by 50 is a query, against all rows.
+KNN = "with d as (select q.vec_id as query_id, v.vec_id as vec_id, v.label as label, round(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (q.embedding[i]::double - v.embedding[i]::double) ** 2)), 9) as d from embeddings q, embeddings v where q.vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by d, vec_id) as rank from d qualify rank <= 10) "
+
+
+def _knn(spark, sf_dir, k=10):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.nearest(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k, "vec_id")
+
+
+@query(KNN + "select query_id, vec_id, rank, round(d, 6) as distance from r")
+def knn_topk(spark, sf_dir):
+    return _knn(spark, sf_dir).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query(KNN + "select query_id, vec_id, round(1 - d / 4, 6) as relevance from r")
+def knn_relevance(spark, sf_dir):
+    return _knn(spark, sf_dir).select("query_id", "vec_id", F.round(S.relevance(F.col("distance")), 6).alias("relevance"))
+
+
+@query(KNN + "select query_id, vec_id, round(exp(-power(0.75 * sqrt(d), 2)), 6) as probability from r")
+def knn_match_prob(spark, sf_dir):
+    return _knn(spark, sf_dir).select("query_id", "vec_id", F.round(S.match_probability(F.round("distance", 9)), 6).alias("probability"))
+
+
+@query(KNN + "select query_id, label, count(*) as votes from r group by all")
+def knn_label_vote(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return _knn(spark, sf_dir).join(labels, "vec_id").groupBy("query_id", "label").agg(F.count("vec_id").alias("votes"))
+
+
+@query("select vec_id, label from embeddings e where not exists (select 1 from labels l where l.doc_id = e.vec_id)")
+def vector_delete(spark, sf_dir):
+    keys = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
+    return vectors.delete(table(spark, sf_dir, "embeddings"), keys, "vec_id").select("vec_id", "label")
+
+
+@query("select vec_id, label from embeddings where vec_id not in (select doc_id from labels) union all select distinct doc_id as vec_id, -1 as label from labels")
+def vector_upsert(spark, sf_dir):
+    new = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), F.lit(-1).alias("label")).distinct()
+    return vectors.upsert(table(spark, sf_dir, "embeddings").select("vec_id", "label"), new, "vec_id")
+
+
+@query("with d as (select q.vec_id as query_id, v.vec_id // 4 as chunk_id, round(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (q.embedding[i]::double - v.embedding[i]::double) ** 2)), 9) as d from embeddings q, embeddings v where q.vec_id % 50 = 0), m as (select query_id, chunk_id, min(d) as d from d group by all) select query_id, chunk_id, round(d, 6) as distance from m qualify row_number() over (partition by query_id order by d, chunk_id) <= 5")
+def multi_slot_distance(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.nearest(e.select(F.expr("vec_id div 4").alias("chunk_id"), "embedding"), q, 5, "chunk_id").select("query_id", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+# Texts, tokens and chunks.
+DOC_TOK = f"with t as (select doc_id, {TOK} as tok from documents), c as (select doc_id, unnest(range(0, ((len(tok) + 11) // 12)::bigint)) as i, tok, len(tok) as n from t), k as (select doc_id as mem_id, i as chunk_no, i * 12 as from_seq, least(i * 12 + 24, n) as to_seq, tok[i * 12 + 1 : i * 12 + 24] as tokens, n from c) "
+
+
+def _doc_placed(spark, sf_dir):
+    return ingest.place(readers.knowledge(table(spark, sf_dir, "documents")))
+
+
+def _doc_chunks(spark, sf_dir):
+    return ingest.chunks(_doc_placed(spark, sf_dir), C, STRIDE)
+
+
+@query(f"select doc_id, len({TOK})::bigint as n_tokens from documents")
+def doc_token_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query(DOC_TOK + "select mem_id, chunk_no, from_seq, to_seq, md5(array_to_string(tokens, '')) as digest from k")
+def doc_chunks(spark, sf_dir):
+    return _doc_chunks(spark, sf_dir).select("mem_id", "chunk_no", "from_seq", "to_seq", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(DOC_TOK + "select mem_id, chunk_no, (n + 11) // 12 as mem_chunks from k where chunk_no >= (n + 11) // 12 - 10")
+def chunk_retention(spark, sf_dir):
+    return ingest.retain(ingest.number(_doc_chunks(spark, sf_dir)), 10).select("mem_id", "chunk_no", "mem_chunks")
+
+
+@query(f"with t as (select doc_id as mem_id, {TOK} as tok from documents) select mem_id, md5(array_to_string(tok[greatest(len(tok) - 50, 0) + 1 :], '')) as digest from t where len(tok) > 0")
+def doc_latest_tokens(spark, sf_dir):
+    return ingest.latest_tokens(_doc_placed(spark, sf_dir), 50).where(F.size("tokens") > 0).select("mem_id", F.md5(F.array_join("tokens", "").cast("binary")).alias("digest"))
+
+
+@query("select doc_id as mem_id, md5(coalesce(text, '')) as digest from documents where coalesce(text, '') <> ''")
+def doc_roundtrip(spark, sf_dir):
+    tiles = _doc_chunks(spark, sf_dir).select("mem_id", F.struct("chunk_no", F.slice("tokens", 1, STRIDE).alias("t")).alias("x"))
+    out = tiles.groupBy("mem_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return out.select("mem_id", F.md5(F.array_join(F.flatten(F.transform("x", lambda x: x["t"])), "").cast("binary")).alias("digest"))
+
+
+LINES = "with l as (select conv_id, turn, role || ': ' || coalesce(text, '') || chr(10) as line from conversations) "
+SEQ = LINES + f", s as (select *, len(regexp_extract_all(line, '{RE}', 1)) as n from l), p as (select *, sum(n) over (partition by conv_id order by turn)::bigint as to_seq, row_number() over (partition by conv_id order by turn) as text_key from s), o as (select *, to_seq - n as from_seq from p) "
+
+
+def _convo(spark, sf_dir):
+    return ingest.place(readers.conversation_lines(table(spark, sf_dir, "conversations")))
+
+
+@query(LINES + "select conv_id, turn, line from l")
+def convo_lines(spark, sf_dir):
+    return readers.conversation_lines(table(spark, sf_dir, "conversations")).select(F.col("mem_id").alias("conv_id"), F.col("ord").alias("turn"), F.col("text").alias("line"))
+
+
+@query(SEQ + "select conv_id as mem_id, text_key, from_seq, to_seq from o")
+def convo_offsets(spark, sf_dir):
+    return _convo(spark, sf_dir).select("mem_id", "text_key", "from_seq", "to_seq")
+
+
+@query(SEQ + ", g as (select conv_id, max(to_seq) as n from o group by 1), c as (select conv_id, n, unnest(range(0, (n + 11) // 12)) as i from g) select c.conv_id as mem_id, i as chunk_no, string_agg(text_key::varchar, ',' order by from_seq) as text_keys, arg_min(turn::double, from_seq) as ts from c join o on o.conv_id = c.conv_id and o.from_seq < least(i * 12 + 24, c.n) and o.to_seq > i * 12 group by all")
+def convo_chunk_text_keys(spark, sf_dir):
+    return ingest.chunks(_convo(spark, sf_dir), C, STRIDE).select("mem_id", "chunk_no", F.array_join(F.transform("text_keys", lambda x: x.cast("string")), ",").alias("text_keys"), "ts")
+
+
+@query("with d as (select conv_id, turn, role, sum(case when role = 'user' and turn > 0 then 1 else 0 end) over (partition by conv_id order by turn) as s from conversations) select conv_id, turn, s::bigint as section_id from d")
+def convo_sections(spark, sf_dir):
+    t = readers.conversation_lines(table(spark, sf_dir, "conversations")).drop("section_id").withColumn("sep", F.col("text").startswith("user: ") & (F.col("ord") > 0))
+    return ingest.place(t, separator="sep").select(F.col("mem_id").alias("conv_id"), F.col("ord").alias("turn"), "section_id")
+
+
+@query(f"with t as (select item_id, {TOK} as tok from benchmark) select item_id, array_to_string(tok[greatest(len(tok) - 40, 0) + 1 :], '') as query from t")
+def query_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.last_tokens(T.tokens(F.coalesce("text", F.lit(""))), 40), "").alias("query"))
+
+
+@query("select l.doc_id as mem_id, d.text from labels l left join documents d using (doc_id)")
+def text_get(spark, sf_dir):
+    keys = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("mem_id"), F.lit(1).cast("long").alias("text_key"))
+    return ingest.get_text(_doc_placed(spark, sf_dir), keys).select("mem_id", "text")
+
+
+@query("select conv_id, turn from conversations where role <> 'system'")
+def text_delete(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("mem_id"), F.col("turn").alias("text_key"), "role")
+    return ingest.delete(t, t.where("role = 'system'").select("mem_id", "text_key")).select(F.col("mem_id").alias("conv_id"), F.col("text_key").alias("turn"))
+
+
+@query("select conv_id, turn, case when role = 'system' then '' else text end as text from conversations")
+def text_replace(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("mem_id"), F.col("turn").alias("text_key"), "text", "role")
+    new = t.where("role = 'system'").select("mem_id", "text_key", F.lit("").alias("text"))
+    return ingest.replace(t, new).select(F.col("mem_id").alias("conv_id"), F.col("text_key").alias("turn"), "text")
+
+
+def _expansion(name: str, least: int, most: int, stops: list[list[str]]):
+    stops_sql = [[x.replace("'", "''") for x in s] for s in stops]
+    parts = []
+    for s in stops_sql:
+        arr = "[" + ", ".join("chr(10)" if x == "\n" else "chr(13)" if x == "\r" else f"'{x}'" for x in s) + "]"
+        parts.append((len(s), arr))
+
+    def ends(arr: str, agg: str) -> str:
+        if not parts:
+            return "null"
+        each = ", ".join(f"(select {agg}(i) from unnest(range(1, len({arr}) - {n} + 2)) u(i) where {arr}[i : i + {n} - 1] = {a})" for n, a in parts)
+        pick = "greatest" if agg == "max" else "least"
+        return f"{pick}({each})" if len(parts) > 1 else each
+
+    sql = (
+        DOC_TOK + f", b as (select k.*, t.tok, greatest(from_seq - {least}, 0) as a0, least(to_seq + {least}, n) as b0, greatest(from_seq - {most}, 0) as lo, least(to_seq + {most}, n) as hi from k join t on t.doc_id = k.mem_id), "
+        f"x as (select *, tok[lo + 1 : a0] as lt, tok[b0 + 1 : hi] as rt from b), y as (select *, {ends('lt', 'max')} as li, {ends('rt', 'min')} as ri from x) "
+        f"select mem_id, chunk_no, (case when li is null then lo else lo + li + {parts[0][0] - 1 if parts else 0} end)::bigint as p_from, (case when ri is null then hi else b0 + ri + {parts[0][0] - 1 if parts else 0} end)::bigint as p_to from y"
+    )
+
+    def run(spark, sf_dir):
+        k = ingest.retain(ingest.number(_doc_chunks(spark, sf_dir)), 1 << 40)
+        e = Expansion(least, most)
+        return passages.expand(k.select("mem_id", "section_id", "chunk_no", "from_seq", "to_seq", "section_from", "section_to", "first_seq"), k, e, STRIDE, stops).select("mem_id", "chunk_no", "p_from", "p_to")
+
+    run.__name__ = f"passage_expand_{name}"
+    query(sql)(run)
+
+
+_expansion("sentence", 0, 24, [["."], ["?"], ["!"]])
+_expansion("line", 16, 64, [["\n"]])
+_expansion("paragraph", 0, 192, [["\n", "\n"]])
+_expansion("section", 0, 64, [])
+
+
+@query()
+def greedy_overlaps(spark, sf_dir):
+    """Nearest vectors as passages of neighbouring ids: what is left of each search."""
+    rows = _knn(spark, sf_dir, 30).select("query_id", F.col("rank").alias("ord"), "vec_id", F.expr("vec_id * 12 % 600").alias("p_from"), F.expr("vec_id * 12 % 600 + 24").alias("p_to"))
+    return passages.greedy(rows, 0.5, 10).select("query_id", "vec_id", "p_from")
+
+
+# Scores.
+AGE = "greatest(2000000000.0 - epoch(ts), 0.0)"
+
+
+def _age():
+    return F.lit(NOW) - F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+
+
+@query(f"select event_id, round(exp(-{AGE} * (ln(2) / 31536000.0)), 6) as recency from events")
+def recency_exponential(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(S.recency(_age(), 31536000.0), 6).alias("recency"))
+
+
+@query(f"select event_id, round(31536000.0 / (31536000.0 + {AGE}), 6) as recency from events")
+def recency_inverse(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(S.recency(_age(), 31536000.0, Decay.INVERSE), 6).alias("recency"))
+
+
+SCORE = f"with s as (select event_id, user_id, exp(-{AGE} * (ln(2) / 31536000.0)) as r, abs(value) / (1 + abs(value)) as v, coalesce((user_id % 10) / 9.0, 0) as i from events) "
+
+
+def _scored(spark, sf_dir, multiplicative):
+    v = F.abs("value") / (1 + F.abs("value"))
+    i = (F.col("user_id") % 10) / F.lit(9.0)
+    score = S.memory_score(S.recency(_age(), 31536000.0), i, v, (1.0, 2.0, 3.0), multiplicative)
+    return table(spark, sf_dir, "events").select("event_id", F.round(score, 6).alias("score"))
+
+
+@query(SCORE + "select event_id, round(r + 2 * i + 3 * v, 6) as score from s")
+def score_additive(spark, sf_dir):
+    return _scored(spark, sf_dir, False)
+
+
+@query(SCORE + "select event_id, round(ln(r + 1e-20) + 2 * ln(i + 1e-20) + 3 * ln(v + 1e-20), 6) as score from s")
+def score_multiplicative(spark, sf_dir):
+    return _scored(spark, sf_dir, True)
+
+
+@query("select doc_id, round(least(greatest((coalesce(quality * 9 + 1, 0) - 1) / 9.0, 0.0), 1.0), 6) as importance from labels")
+def importance_scale(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", F.round(S.importance_from_rating(F.concat(F.lit(" "), (F.col("quality") * 9 + 1).cast("string"))), 6).alias("importance"))
+
+
+@query("with e as (select event_id, (event_id * event_id % 400000)::double as s from events) select event_id, case when s < 1 then 'just now' when s < 60 then round_even(s, 0)::bigint || ' second(s) ago' when s < 3600 then round_even(s / 60, 0)::bigint || ' minute(s) ago' when s < 86400 then printf('%.1f', s / 3600) || ' hour(s) ago' else printf('%.1f', s / 86400) || ' day(s) ago' end as descriptor from e")
+def elapsed_descriptor(spark, sf_dir):
+    s = F.expr("cast(event_id * event_id % 400000 as double)")
+    return table(spark, sf_dir, "events").select("event_id", T.elapsed(F.lit(0.0), s).alias("descriptor"))
+
+
+# Prompts.
+MSG = f"with m as (select conv_id, turn, role, text, len({TOK}) as n from conversations) "
+
+
+def _messages(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
+
+
+@query(MSG + ", u as (select *, sum(n) over (partition by conv_id order by turn desc) as used from m) select conv_id as session_id, turn, used::bigint as used from u where used <= 200")
+def history_budget(spark, sf_dir):
+    return agent.history(_messages(spark, sf_dir), 200).select("session_id", "turn", "used")
+
+
+@query(MSG + "select conv_id as session_id, arg_max(text, turn) as content from m where role = 'assistant' group by 1")
+def last_assistant_message(spark, sf_dir):
+    return agent.last_assistant(_messages(spark, sf_dir))
+
+
+EX = f"with m as (select conv_id as session_id, turn, case when role = 'assistant' then 'kb' else 'convo' end as kind, (turn * 7 % 10) / 10.0::double as relevance, case when role = 'assistant' then '# Excerpt' || chr(10) else '# Excerpt from just now' || chr(10) end || trim(coalesce(text, ''), ' ') || chr(10) || chr(10) as excerpt from conversations), c as (select *, len(regexp_extract_all(excerpt, '{RE}', 1)) + case when row_number() over (partition by session_id, kind order by relevance desc, turn) = 1 then case when kind = 'convo' then len(regexp_extract_all('{agent.CONVERSATION_PREFIX.strip()}', '{RE}', 1)) + 1 else len(regexp_extract_all('{agent.KNOWLEDGE_PREFIX.strip()}', '{RE}', 1)) + 1 end else 0 end as cost from m), u as (select *, sum(cost) over (partition by session_id order by relevance desc, kind, turn rows unbounded preceding) as used from c) select session_id, turn, used::bigint as used from u where used <= 300"
+
+
+def _fitting(spark, sf_dir):
+    m = _messages(spark, sf_dir).select("session_id", F.when(F.col("role") == "assistant", "kb").otherwise("convo").alias("kind"), (F.col("turn") * 7 % 10 / 10.0).alias("relevance"), F.col("turn").alias("tie"), F.col("turn").cast("double").alias("ts"), F.col("turn").alias("from_idx"), F.coalesce("content", F.lit("")).alias("passage"))
+    return agent.excerpts(m, 300)
+
+
+@query(EX)
+def excerpt_budget(spark, sf_dir):
+    return _fitting(spark, sf_dir).select("session_id", F.col("tie").alias("turn"), "used")
+
+
+@query()
+def assembled_prompt(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    system = m.select("session_id").distinct().withColumn("content", F.lit("You are a helpful assistant."))
+    user = m.where("role = 'user'").groupBy("session_id").agg(F.max_by("content", "turn").alias("content"))
+    return agent.assemble(system, agent.memory_message(_fitting(spark, sf_dir)), agent.history(m, 200), user)
+
+
+@query("select page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), '\\r?\\n\\r?\\n', '<p>', 'g'), '\\r?\\n', '<br>', 'g')) as digest from pages")
+def text_to_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.text_to_html(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query("select page_id, md5(url) || '-' || regexp_extract(url, '([^/]*)$', 1) as cache_name from pages")
+def url_cache_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.cache_name(F.col("url")).alias("cache_name"))
+
+
+@query("select doc_id, len(list_filter(regexp_split_to_array(text, '\\r?\\n\\r?\\n'), lambda p: length(trim(p, ' ')) > 0))::bigint as n_paragraphs from documents where text is not null")
+def document_paragraphs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("long").alias("n_paragraphs"))
+
+
+@query()
+def json_repair(spark, sf_dir):
+    broken = F.concat(F.lit("Here it is:\n```json\n"), F.regexp_replace("props", r"\}$", ", }"), F.lit("\n```"))
+    return table(spark, sf_dir, "events").select("event_id", jsonfix.repaired(broken).alias("props"))
+
+
+@query()
+def correctness_score(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    cut = F.array_join(T.last_tokens(T.tokens(F.col("text")), 30), "")
+    return b.select("item_id", F.round(evaluate.correctness(F.col("text"), cut), 6).alias("score"))
+
+
+def _found(spark, sf_dir, k=10, **kw):
+    config = MemoryConfig(expansion=Expansion.for_chunk())
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
+    # A corpus is too long for one stream: each document is a section with its own places.
+    placed = ingest.place(docs.select(F.col("ord").alias("mem_id"), F.lit(0).cast("long").alias("ord"), "text", F.lit(0).cast("long").alias("section_id")))
+    chunked = ingest.chunks(placed, config.capacity, config.stride).withColumn("first_seq", F.col("section_from"))
+    chunked = vectors.embed(chunked.withColumn("chunk_id", F.col("mem_id") * 1_000_000 + F.col("chunk_no"))).persist(StorageLevel.DISK_ONLY)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieve.retrieve(chunked, q, k, config, **kw)
+
+
+@query()
+def retrieve_topk(spark, sf_dir):
+    """Benchmark items against all documents' chunks."""
+    return _found(spark, sf_dir, 3).select("query_id", "rank", "chunk_id", F.round("relevance", 6).alias("relevance"))
+
+
+@query()
+def retrieve_matched(spark, sf_dir):
+    """The same, matched by embedding probability before overlaps go."""
+    return _found(spark, sf_dir, 2, match=retrieve.embedding_match).select("query_id", "rank", "chunk_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def acc_at_k(spark, sf_dir):
+    facts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.last_tokens(T.tokens(F.col("text")), 12), "").alias("fact"))
+    return evaluate.accuracy(_found(spark, sf_dir, 10), facts, [3, 10]).select("k", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query()
+def query_passage_pairs(spark, sf_dir):
+    return evaluate.query_passage_pairs(table(spark, sf_dir, "documents"))
