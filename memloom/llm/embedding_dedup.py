@@ -40,6 +40,10 @@ class CoverTree:
             level, links = [], []
             for rows in self.nodes[-1]:
                 left, own = rows, []
+                if len(rows) == 1:
+                    own.append(len(level))
+                    level.append(rows)
+                    left = rows[:0]
                 while len(left):
                     near = np.sqrt(np.maximum(0, 2 - 2 * (x[left] @ x[left[0]]))) <= r
                     near[0] = True
@@ -60,15 +64,17 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> tuple[l
     far = np.sqrt(2 - 2 * cosine)
     whole, single = [], []
     depth = min(len(a.nodes), len(b.nodes))
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def near(level: int, p: np.ndarray, q: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of nodes p and q of a level that may hold links, and their centres' distance."""
+        d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centre[level][p]] @ b.x[b.centre[level][q]].T)))
+        ok = d <= far + a.radius[level][p][:, None] + b.radius[level][q] + SLACK
+        r, c = np.nonzero(ok & (p[:, None] <= q) if once else ok)
+        return p[r], q[c], d[r, c]
+
+    i, j, d = near(0, np.zeros(1, np.int64), np.zeros(1, np.int64), False)
     for level in range(depth):
         ra, rb = a.radius[level][i], b.radius[level][j]
-        d = np.empty(len(i))
-        for k in range(0, len(i), 65536):
-            s = slice(k, k + 65536)
-            d[s] = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.x[a.centre[level][i[s]]], b.x[b.centre[level][j[s]]])))
-        ok = d <= far + ra + rb + SLACK
-        i, j, d, ra, rb = i[ok], j[ok], d[ok], ra[ok], rb[ok]
         sizes = np.array([len(x) for x in a.nodes[level]])[i] * np.array([len(x) for x in b.nodes[level]])[j]
         inside = (d + ra + rb <= far - SLACK) & (sizes > 1)
         whole += [(a.nodes[level][p], b.nodes[level][q]) for p, q in zip(i[inside].tolist(), j[inside].tolist(), strict=True)]
@@ -88,10 +94,8 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> tuple[l
             break
         opened = []
         for u, v in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = np.array(a.children[level][u]), np.array(b.children[level][v])
-            p, q = np.repeat(p, len(q)), np.tile(q, len(p))
-            opened.append((p[p <= q], q[p <= q]) if same and u == v else (p, q))
-        i, j = (np.concatenate(z) for z in zip(*opened, strict=True))
+            opened.append(near(level + 1, np.array(a.children[level][u]), np.array(b.children[level][v]), same and u == v))
+        i, j, d = (np.concatenate(z) for z in zip(*opened, strict=True))
     return whole, single
 
 
