@@ -26,7 +26,7 @@ from . import scratch
 
 GT_MAX, MIN_PAIR = 5, 2
 START, END = np.uint64(0x5354415254535441), np.uint64(0x454E44454E44454E)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _zip(a: np.ndarray) -> bytes:
@@ -41,7 +41,11 @@ def _unzip(b: bytes, kind: type) -> np.ndarray:
 
 
 def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return bt.mix(h * bt._MUL + bt.mix(w))
+    out = np.empty(len(h), np.uint64)
+    for i in range(0, len(h), 1 << 17):  # small temporaries
+        s = slice(i, i + (1 << 17))
+        out[s] = bt.mix(h[s] * bt._MUL + bt.mix(w[s]))
+    return out
 
 
 def streams(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,7 +118,7 @@ def katz_scores(docs: DataFrame, train: Column, block: Column | None = None, min
     block = F.xxhash64(id_col) % 64 if block is None else block
     rows = docs.select(block.cast("long").alias("blk"), F.coalesce(train, F.lit(False)).alias("train"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = scratch.parts(spark, total)
+    n_parts = scratch.parts(spark, total, 6 << 20)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -123,10 +127,15 @@ def katz_scores(docs: DataFrame, train: Column, block: Column | None = None, min
         def flush() -> Iterator[pa.RecordBatch]:
             for blk, x in held.items():
                 learn, h, w = (np.concatenate(c) for c in zip(*x, strict=True))
+                x.clear()
                 for kind in (1, 2):
                     key = w if kind == 1 else pair_keys(h, w)
-                    _, at, inv = np.unique(key, return_index=True, return_inverse=True)
-                    count = np.bincount(inv, learn, len(at)).astype(np.int64)
+                    order = np.argsort(key)
+                    key = key[order]
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    count = np.add.reduceat(learn[order].astype(np.int64), first)
+                    at = order[first]
+                    del key, order
                     hh, ww = h[at], w[at]
                     part = ((ww if kind == 1 else pair_keys(hh, ww)) % np.uint64(n_parts)).astype(np.int64)
                     order = np.lexsort((ww, part)) if kind == 1 else np.lexsort((ww, hh, part))
@@ -144,7 +153,7 @@ def katz_scores(docs: DataFrame, train: Column, block: Column | None = None, min
                     m = own == k
                     held.setdefault(k, []).append((taught[m], h[m], w[m]))
                 size += len(w)
-                if size > 6_000_000:
+                if size > 5_000_000:
                     yield from flush()
                     size = 0
         yield from flush()
