@@ -145,7 +145,7 @@ def katz_scores(docs: DataFrame, train: Column, block: Column | None = None, min
                         yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int64()), pa.array([kind], pa.int32()), pa.array([blk], pa.int64()), pa.array([b"" if kind == 1 else _zip(hh[a:z])], pa.binary()), pa.array([_zip(ww[a:z])], pa.binary()), pa.array([_zip(count[a:z])], pa.binary())], ["part", "kind", "blk", "h", "w", "c"])
             held.clear()
 
-        for b in batches:
+        for b in bt.small(batches):
             blk, learn = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for r, n, h, w in streams(b.column(2), b.column(3)):
                 own, taught = np.repeat(blk[r], n), np.repeat(learn[r], n)
@@ -224,7 +224,7 @@ def katz_scores(docs: DataFrame, train: Column, block: Column | None = None, min
                 yield pa.RecordBatch.from_arrays([pa.array([blk[a]], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([_zip(c[a:z])], pa.binary()) for c in cols)], ["blk", "kind", "key", "c", "backoff", "shrink"])
 
         kind = 0
-        for b in batches:
+        for b in bt.small(batches):
             w, c, back, shr = (b.column(x).to_numpy(zero_copy_only=False) for x in ("w", "c", "backoff", "shrink"))
             kind = 1 if "h" not in b.schema.names else 2
             key = w.view(np.uint64) if kind == 1 else pair_keys(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), w.view(np.uint64))

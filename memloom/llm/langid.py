@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import bytetext as bt
+
 PROFILE, TEXT_PROFILE, PER_LANG = 400, 300, 3000
 UNKNOWN = "und"
 _tables: dict[str, np.ndarray] = {}
@@ -92,7 +94,7 @@ def fit(rows: DataFrame, per_lang: int = PER_LANG, size: int = PROFILE, id_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
-        for b in batches:
+        for b in bt.small(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(lang, {})
                 for k, c in zip(*(x.tolist() for x in ngrams(text)), strict=True):
@@ -120,7 +122,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bt.small(batches):
             out = [profiles.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], [*names, "lang_pred", "score"])
 

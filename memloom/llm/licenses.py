@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytetext as bt
+
 WINDOW, LEAST, FILE_SHARE = 40, 0.5, 0.5
 CUES = re.compile(r"licen[sc]|copyright|rights reserved|spdx|public domain")
 TEMPLATES = {
@@ -109,7 +111,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bt.small(batches):
             out = [known.scan(t) for t in b.column(at).to_pylist()]
             isfile = [x is not None and 2 * own >= n for x, _, own, n in out]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array(isfile, pa.bool_())], [*names, "license", "license_score", "license_is_file"])

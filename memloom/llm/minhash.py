@@ -86,7 +86,7 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bt.small(batches):
             ids = b.column(0).to_pylist()
             out = []
             for i, s in _doc_sets(b, size):
@@ -100,7 +100,7 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
     classes = scratch.save(described.where("set_key is not null and doc_id is not null").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bt.small(batches):
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
                 sk = _sketches(part)
@@ -159,7 +159,7 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
     asked = scratch.save(groups.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "candidates")  # a few keys for each tree at most
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bt.small(batches):
             ids, keys = b.column(0).to_pylist(), b.column(2).to_pylist()
             for i, s in _doc_sets(b, size):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i], pa.int64()), pa.array([ids[i]] * len(keys[i]), pa.int64()), pa.array([s.tobytes()] * len(keys[i]), pa.binary())], ["key", "rep", "shingles"])

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytetext as bt
 from . import scratch
 
 HASHED, DIMS, BITS = 256, 3, 10
@@ -91,7 +92,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, id_col: str = "doc_id", t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in bt.small(batches):
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 ids = [np.append(enc.encode_to_numpy(t or "", allowed_special="all"), end_id).astype(np.uint16) for t in part.column(1).to_pylist()]
@@ -107,7 +108,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, id_col: str = "doc_id", t
     bounds = np.unique(rows.approxQuantile("place", [i / n_ranges for i in range(1, n_ranges)], 0.25 / n_ranges)).astype(np.int64) if n_ranges > 1 else np.zeros(0, np.int64)
 
     def to_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bt.small(batches):
             yield b.append_column("part", pa.array(np.searchsorted(bounds, b.column("place").to_numpy(zero_copy_only=False), "right"), pa.int64()))
 
     cells = rows.select("place", "n").mapInArrow(to_range, "place long, n long, part long").groupBy("part").agg(F.sum("n").alias("n"))
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, id_col: str = "doc_id", t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = None, 0
-        for b in batches:
+        for b in bt.small(batches):
             out: list[tuple] = []
             for d, ids, part in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "part")), strict=True):
                 if part != now:

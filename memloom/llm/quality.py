@@ -88,7 +88,7 @@ def fit(docs: DataFrame, common: int = COMMON) -> dict[str, dict]:
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        for b in batches:
+        for b in bt.small(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(_tokens(text))
         for lang, c in seen.items():
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, common: int = COMMON) -> dict[str, dict]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter] = {}
-        for b in batches:
+        for b in bt.small(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c, own, known = sums.setdefault(lang, Counter()), _tokens(text), words.get(lang, ())
                 c.update(w for w in own if w in known)
@@ -153,7 +153,7 @@ def apply_rules(docs: DataFrame, refs: dict[str, dict], max_class: float = MAX_C
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance", "nearest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bt.small(batches):
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = t or ""

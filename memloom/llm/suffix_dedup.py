@@ -211,7 +211,7 @@ def spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for b in batches:
+        for b in bt.small(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for rows, data, off in bt.chunks(b.column(0), b.column(1)):
                 for doc, start, count, h in anchor_runs(data, off):
@@ -267,7 +267,7 @@ def spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
             for x in (h, doc, start, own):
                 x.clear()
 
-        for b in batches:
+        for b in bt.small(batches):
             for d, t, ss, cc, hh in zip(*(b.column(c).to_pylist() for c in ("__id", "__text", "__start", "__count", "__h")), strict=True):
                 data = _unzip(t)
                 s, c = np.frombuffer(ss, np.int64).tolist(), np.frombuffer(cc, np.int16).tolist()
@@ -345,7 +345,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = StructType([*(f for f in docs.schema if f.name in others), StructField("__id", LongType(), False), StructField("__text", BinaryType())])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bt.small(batches):
             text = [None if t is None else _zip(t.encode()) for t in b.column(len(others) + 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others) + 1], pa.array(text, pa.binary())], [*others, "__id", "__text"])
 
@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bt.small(batches):
             out = []
             texts = [None if t is None else _unzip(t) for t in b.column("__text").to_pylist()]
             for t, s in zip(texts, b.column("__spans").to_pylist(), strict=True):
