@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages from documents to packed pieces.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the
-columns of documents, the last one the pieces. SQL cannot express the stages; tests/llm compare them
-with brute force.
+columns of documents, the last one the pieces. SQL cannot express the stages. tests/llm compare the
+operators with brute force; of the stages themselves they check columns and that rows are left.
 """
 
 from __future__ import annotations
