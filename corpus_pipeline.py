@@ -15,6 +15,8 @@ from memloom.llm import langid, minhash, mixing, packing, scratch, suffix_dedup
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this score a text's n-grams are nearly all foreign to every learned language.
 MIN_LANG_SCORE = 0.25
+#: Near copies in percent of shared shingles; op9's own 85 is that query's contract alone.
+NEAR_COPY = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id. Rows with null ids stay."""
-    kept = minhash.near_groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = minhash.near_groups(docs, num=NEAR_COPY).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

@@ -248,3 +248,16 @@ def test_pipeline(spark):
         columns = columns or docs.columns
         assert docs.columns == columns and docs.count() > 100
     assert p.STAGES[-1][1](spark, docs, "").count() > 100
+
+
+def test_pipeline_near_copies(spark):
+    """The stage leaves one of two documents that share between 80 and 85 % of their shingles."""
+    import corpus_pipeline as p
+
+    a = [f"w{i}" for i in range(204)]
+    b = [f"x{i}" if i in (30, 70, 110, 150) else w for i, w in enumerate(a)]
+    s, t = ({tuple(x[i : i + 5]) for i in range(200)} for x in (a, b))
+    assert 0.8 <= len(s & t) / len(s | t) < 0.85
+    rows = [(i, " ".join(x), "en", "s", 1) for i, x in enumerate((a, b))]
+    got = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert [r.doc_id for r in got.collect()] == [0]
