@@ -1,17 +1,21 @@
 """Near copies by chosen-path set similarity join.
 
 A document is its set of distinct five-word shingles. Documents with equal sets form a class, and each
-class goes on as one. A class has a sketch of ``SKETCH`` minwise values. In each of ``TREES``
-independent trees it walks a path: the path so far chooses one minwise function, and that function's
-minwise token of the set is the next branch. A node of at most ``NODE`` classes is compared
-exhaustively by sketches; a larger one is branched further. At the last depth a node is cut into parts
-that share its pivots. Classes whose sketches could reach the threshold are confirmed on their full
-sets, of which only such classes' are shuffled. Links leave a task as a spanning forest.
+class goes on as one. A class has a sketch of ``SKETCH`` minwise values. In each of several trees it
+walks a path: the path so far chooses one minwise function, and that function's minwise token of the
+set is the next branch. A node of at most ``NODE`` classes is compared exhaustively by sketches; the
+classes of larger ones go to the next depth. At the last depth a larger node is cut into parts that
+share its pivots. Then the classes of large nodes walk as many trees as pairs at the threshold need at
+each further depth, and all pairs of different components that meet are compared, in a large node of
+the last depth by pairs of blocks. Classes whose sketches could reach the threshold are
+confirmed on their full sets, of which only such classes' are shuffled. Links leave a task as a
+spanning forest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,10 @@ from . import bytetext as bt
 from . import scratch
 from .components import Forest, components, sorted_groups
 
-SKETCH, TREES, NODE = 128, 12, 256
-DEPTHS = (3, 5, 8, 12)
+SKETCH, NODE = 128, 256
+DEPTHS = (3, 5, 8)
+#: Share of the pairs at the threshold that may meet in no node, over all depths.
+MISS = 0.001
 PIVOTS = 8
 NUM, DEN, SIZE = 85, 100, 5
 _rng = np.random.default_rng(9)
@@ -57,6 +63,22 @@ def paths(sk: np.ndarray, tree: int, depths: tuple[int, ...]) -> list[np.ndarray
     return out
 
 
+def tree_counts(similarity: float) -> list[int]:
+    """Trees at each depth, so that pairs of that similarity miss each other at any depth in MISS of cases at most.
+
+    All trees read one sketch, so the chance is the mean over how many of its values a pair shares.
+    """
+    shared = np.arange(SKETCH + 1)
+    p = np.array([comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k) for k in shared.tolist()])
+    out = []
+    for d in DEPTHS:
+        t = 1
+        while p @ (1 - (shared / SKETCH) ** d) ** t > MISS / len(DEPTHS) and t < 10_000:
+            t += 1
+        out.append(t)
+    return out
+
+
 def _sketches(b: pa.RecordBatch, col: str = "sketch") -> np.ndarray:
     return np.frombuffer(b"".join(b.column(col).to_pylist()), np.uint32).reshape(b.num_rows, SKETCH)
 
@@ -74,13 +96,30 @@ def _pairs_in_runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (h + i).ravel(), (h + j).ravel()
 
 
-def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZE, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _across(member: DataFrame) -> DataFrame:
+    """(key, rep, comp) that bring together all pairs of different comp of each node of member(node, rep, comp).
+
+    The members outside a node's largest component meet all blocks, those of the largest only the others' blocks.
+    """
+    sizes = member.groupBy("node", "comp").agg(F.count("rep").alias("c"))
+    sizes = sizes.groupBy("node").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).where("all > top.c")
+    half = NODE // 2
+    sizes = sizes.select("node", F.col("top.comp").alias("home"), F.ceil((F.col("all") - F.col("top.c")) / half).cast("long").alias("others"), F.ceil(F.col("top.c") / half).cast("long").alias("homes"))
+    at_home = F.col("comp") == F.col("home")
+    rows = member.join(sizes, "node")
+    block = F.when(at_home, F.col("others") + F.pmod(F.xxhash64("rep", "node"), F.col("homes"))).otherwise(F.pmod(F.xxhash64("rep", "node"), F.col("others")))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(at_home, F.col("others")).otherwise(F.col("others") + F.col("homes")) - 1)
+    rows = rows.select("node", "rep", "comp", block.alias("block"), F.explode(meets).alias("other"))
+    return rows.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rep", "comp")
+
+
+def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept for each row of docs.
 
     Documents are linked when den * |intersection| >= num * |union| of their shingle sets. A text of
     fewer than `size` words is one shingle; a null text or one without words has none and links with
     nothing. Every link returned is exact; of the links at the threshold the trees find all but about
-    one in a thousand, of closer ones more. A row with a null id is its own group. Rows that repeat an
+    one in a thousand at any depth, of closer ones more. A row with a null id is its own group. Rows that repeat an
     id share its group. Other columns are left out. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -99,48 +138,63 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
     # Equal keys have equal sketches, so any row's sketch stands for the class.
     classes = scratch.save(described.where("set_key is not null and doc_id is not null").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bt.small(batches):
-            for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                sk = _sketches(part)
-                for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([part.column("rep"), *(pa.array(k) for k in paths(sk, t, DEPTHS))], ["rep", *(f"k{d}" for d in DEPTHS)])
-
-    cur = classes.select("rep", "sketch").mapInArrow(walk, "rep long, " + ", ".join(f"k{d} long" for d in DEPTHS))
-    leaves = []
-    for at, d in enumerate(DEPTHS):
-        k = f"k{d}"
-        if at == 0:
+    def walk(depth: int, trees: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in bt.small(batches):
+                for i in range(0, b.num_rows, 4096):
+                    part = b.slice(i, 4096)
+                    sk = _sketches(part)
+                    for t in range(trees):
+                        yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(paths(sk, t, (depth,))[0])], ["rep", "node"])
+
+        return run
+
+    k, counts = "node", tree_counts(num / den)
+
+    def descend(active: DataFrame, plan: list[tuple[int, int]], comp: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """(key, rep, comp) of classes to compare, and the classes of large nodes of the first depth.
+
+        Two classes of a large node both go on, so a pair is lost only if at some depth no tree brings
+        it together. With comp, nodes of one component are left out, and at the end all others compared.
+        """
+        leaves, first = [], None
+        for d, trees in plan:
+            cur = active.mapInArrow(walk(d, trees), "rep long, node long")
+            cur = cur.withColumn("comp", F.col("rep")) if comp is None else cur.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
             cur = scratch.save(cur, "paths")
-        n = cur.groupBy(k).agg(F.count("rep").alias("members"), *((F.min_by("rep", F.xxhash64("rep", F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)) if d == DEPTHS[-1] else ())).where("members > 1")
-        if d != DEPTHS[-1]:
-            leaves.append(cur.join(n.where(f"members <= {NODE}").select(k), k).select(F.col(k).alias("key"), "rep"))
-            big = n.where(f"members > {NODE}").select(k)
-            cur = scratch.save(cur.join(big, k), "large-nodes")
-            if cur.isEmpty():
-                break
-        else:
-            n_parts = F.ceil(F.col("members") / (NODE - PIVOTS)).cast("long")
-            n = scratch.save(n.withColumn("parts", n_parts), "last-nodes")
-            part_key = F.xxhash64(F.col(k), F.pmod(F.xxhash64("rep", F.col(k)), F.col("parts")))
-            leaves.append(cur.join(n, k).select(part_key.alias("key"), "rep"))
-            pivots = n.where("parts > 1").select(k, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array(*(f"p{p}" for p in range(PIVOTS))).alias("p"))
-            leaves.append(pivots.select(F.xxhash64(k, "part").alias("key"), F.explode("p").alias("rep")))
-    leaf = leaves[0]
-    for x in leaves[1:]:
-        leaf = leaf.unionByName(x)
-    leaf = leaf.distinct()
+            last = d == plan[-1][0]
+            n = cur.groupBy(k).agg(F.count("rep").alias("members"), (F.min("comp") < F.max("comp")).alias("mixed"), *((F.min_by("rep", F.xxhash64("rep", F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)) if last and comp is None else ())).where("mixed")
+            if not last or comp is not None:
+                leaves.append(cur.join(n.where(f"members <= {NODE}").select(k), k).select(F.col(k).alias("key"), "rep", "comp"))
+            if not last:
+                big = cur.join(n.where(f"members > {NODE}").select(k), k).select("rep").distinct()
+                active = scratch.save(classes.select("rep", "sketch").join(big, "rep"), "large-nodes")
+                first = active if first is None else first
+                if active.isEmpty():
+                    break
+            elif comp is not None:
+                leaves.append(_across(cur.join(n.where(f"members > {NODE}").select(k), k)))
+            else:
+                n_parts = F.ceil(F.col("members") / (NODE - PIVOTS)).cast("long")
+                n = scratch.save(n.withColumn("parts", n_parts), "last-nodes")
+                part_key = F.xxhash64(F.col(k), F.pmod(F.xxhash64("rep", F.col(k)), F.col("parts")))
+                leaves.append(cur.join(n, k).select(part_key.alias("key"), "rep", "comp"))
+                pivots = n.where("parts > 1").select(k, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array(*(f"p{p}" for p in range(PIVOTS))).alias("p"))
+                leaves.append(pivots.select(F.xxhash64(k, "part").alias("key"), F.explode("p").alias("rep")).withColumn("comp", F.col("rep")))
+        leaf = leaves[0]
+        for x in leaves[1:]:
+            leaf = leaf.unionByName(x)
+        return leaf.distinct(), first
 
     least = num / den - 4 * (num / den * (1 - num / den) / SKETCH) ** 0.5
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sorted_groups(batches):
-            key, rep, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "n"))
+            key, rep, n, comp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "n", "comp"))
             sk = _sketches(b)
             forest = Forest()
             for i, j in _pairs_in_runs(key):
-                ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (rep[i] != rep[j])
+                ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (comp[i] != comp[j])
                 i, j = i[ok], j[ok]
                 for k in range(0, len(i), 20_000):
                     x, y = i[k : k + 20_000], j[k : k + 20_000]
@@ -153,11 +207,6 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
             groups = [sorted(set(x)) for x in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(groups, pa.list_(pa.int64()))], ["members"])
 
-    n_parts = scratch.parts(docs.sparkSession, 0)
-    leaf = leaf.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "n", "sketch").repartition(n_parts, "key").sortWithinPartitions("key")
-    groups = leaf.mapInArrow(compare, "members array<long>").groupBy(F.xxhash64("members").alias("key"), "members").agg(F.lit(1)).select("key", F.explode("members").alias("doc_id"))
-    asked = scratch.save(groups.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "candidates")  # a few keys for each tree at most
-
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bt.small(batches):
             ids, keys = b.column(0).to_pylist(), b.column(2).to_pylist()
@@ -185,9 +234,24 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
                                 out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
 
-    sets = docs.join(asked, "doc_id").select("doc_id", "text", "keys").mapInArrow(to_sets, "key long, rep long, shingles binary")
-    links = sets.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(confirm, "u long, v long")
-    comp = components(links)
+    n_parts = scratch.parts(docs.sparkSession, 0)
+
+    def linked(leaf: DataFrame) -> DataFrame:
+        """Links (u, v) between the classes of different comp that share a key of leaf(key, rep, comp)."""
+        leaf = leaf.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "n", "comp", "sketch").repartition(n_parts, "key").sortWithinPartitions("key")
+        groups = leaf.mapInArrow(compare, "members array<long>").groupBy(F.xxhash64("members").alias("key"), "members").agg(F.lit(1)).select("key", F.explode("members").alias("doc_id"))
+        asked = scratch.save(groups.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "candidates")  # a few keys for each tree at most
+        sets = docs.join(asked, "doc_id").select("doc_id", "text", "keys").mapInArrow(to_sets, "key long, rep long, shingles binary")
+        return sets.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(confirm, "u long, v long")
+
+    # The first depth's trees link the large families; the further trees deeper nodes need serve what is left.
+    leaf, large = descend(classes.select("rep", "sketch"), [(d, counts[0]) for d in DEPTHS])
+    comp = components(linked(leaf))
+    if not large.isEmpty():
+        leaf, _ = descend(large, list(zip(DEPTHS[1:], counts[1:], strict=True)), comp.select(F.col("id").alias("rep"), F.col("component_id").alias("comp")))
+        more = scratch.save(linked(leaf), "more-links")
+        if not more.isEmpty():
+            comp = components(comp.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(more))
     of_class = classes.select("set_key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))

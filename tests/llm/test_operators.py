@@ -261,3 +261,33 @@ def test_pipeline_near_copies(spark):
     rows = [(i, " ".join(x), "en", "s", 1) for i, x in enumerate((a, b))]
     got = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert [r.doc_id for r in got.collect()] == [0]
+
+
+def test_near_copies_in_large_nodes(spark, monkeypatch):
+    """Pairs above the threshold are found where a shared passage makes the nodes large at every depth."""
+    monkeypatch.setattr(minhash, "NODE", 16)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    shared, rows, sets = [f"s{i}" for i in range(200)], [], []
+    for i in range(300):
+        own = [f"a{i}x{k}" for k in range(40)]
+        other = [f"b{i}" if k in (8, 16, 24, 38, 39) else w for k, w in enumerate(own)]
+        for x in (own, other):
+            x = [*shared, *x]
+            rows.append((len(rows), " ".join(x)))
+            sets.append({tuple(x[j : j + 5]) for j in range(len(x) - 4)})
+    assert all(100 * len(s & t) >= 85 * len(s | t) for s, t in zip(sets[::2], sets[1::2]))
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in range(0, 600, 2))
+    assert sum(got[i] != i - 1 for i in range(1, 600, 2)) <= 2
+
+
+def test_blocks_across_components(spark):
+    """Every pair of different components of a node meets; a node of one component has nothing to do."""
+    of = lambda i: 0 if i < 400 else 400 if i < 450 else i
+    member = spark.createDataFrame([(7, i, of(i)) for i in range(700)] + [(8, i, 0) for i in range(300)], "node long, rep long, comp long")
+    met = {}
+    for r in minhash._across(member).collect():
+        met.setdefault(r.key, []).append(r.rep)
+    pairs = {(a, b) for x in met.values() for a in x for b in x if a < b}
+    assert all((a, b) in pairs for b in range(700) for a in range(b) if of(a) != of(b))
+    assert max(map(len, met.values())) < 2 * minhash.NODE
