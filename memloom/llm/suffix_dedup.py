@@ -36,6 +36,8 @@ from .components import sorted_groups
 LENGTH, GRAM = 100, 32
 STARTS = LENGTH - GRAM + 1
 SEGMENT = 1 << 19
+#: An anchor's runs of more bytes are split by further keys, so often at most.
+SPLIT, LEVELS = 1 << 20, 12
 _POS = np.uint64(20)
 
 
@@ -76,7 +78,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     one, two = sorted_sample[is_one], sorted_sample[~is_one]
     below = np.searchsorted(t[one] * big + rank[one + 1], zero_key)
     wide = s.max() + 2
-    below += np.searchsorted((t[two] * wide + t[two + 1]) * big + rank[two + 2], (t[zeros] * wide + t[zeros + 1]) * big + rank[zeros + 2])
+    # One name for two places: every key stays below the square of the length.
+    pair = np.unique(np.concatenate([t[two] * wide + t[two + 1], t[zeros] * wide + t[zeros + 1]]), return_inverse=True)[1].astype(np.int64)
+    below += np.searchsorted(pair[: len(two)] * big + rank[two + 2], pair[len(two) :] * big + rank[zeros + 2])
     out = np.empty(n, np.int64)
     at = below + np.arange(len(zeros))
     rest = np.ones(n, bool)
@@ -159,7 +163,17 @@ def repeats(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, texts: lis
     return covered, np.array(kept, np.int64)
 
 
-def compare_runs(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> list[tuple[int, int, int]]:
+def split_run(text: bytes, level: int) -> Iterator[tuple[int, int, int]]:
+    """(first start, number of starts, key) of the parts of a run whose strings share their least gram of that level."""
+    sums = bt.prefix_sums(np.frombuffer(text, np.uint8))
+    at = np.arange(len(text) - GRAM + 1)
+    h = bt.mix(bt.span_hashes(sums, at, at + GRAM) + bt.mix(np.array([level + 1], np.uint64)))
+    key = np.lib.stride_tricks.sliding_window_view(h, STARTS).min(1)
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    yield from zip(head.tolist(), np.diff(np.append(head, len(key))).tolist(), key[head].tolist(), strict=True)
+
+
+def compare_runs(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, texts: list[bytes], level: int = 0) -> list[tuple[int, int, int]]:
     """Covered (document, start, end) among all runs of some anchors."""
     covered, kept = repeats(hashes, docs, starts, texts)
     h = hashes[kept]
@@ -178,6 +192,11 @@ def compare_runs(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, texts
     for a, z in zip(edge[:-1], edge[1:], strict=True):
         if z - a > 1:
             group = kept[a:z].tolist()
+            if level < LEVELS and sum(len(texts[i]) for i in group) > SPLIT:
+                cut = [(k, docs[i], starts[i] + f, texts[i][f : f + c + LENGTH - 1]) for i in group for f, c, k in split_run(texts[i], level)]
+                k, d, s, t = zip(*cut, strict=True)
+                covered += compare_runs(np.array(k, np.uint64), np.array(d, np.int64), np.array(s, np.int64), list(t), level + 1)
+                continue
             batch += group
             size += sum(len(texts[i]) for i in group)
             if size > 500_000:

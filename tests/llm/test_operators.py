@@ -291,3 +291,28 @@ def test_blocks_across_components(spark):
     pairs = {(a, b) for x in met.values() for a in x for b in x if a < b}
     assert all((a, b) in pairs for b in range(700) for a in range(b) if of(a) != of(b))
     assert max(map(len, met.values())) < 2 * minhash.NODE
+
+
+def test_suffix_array_long():
+    """Keys of the merge stay within 64 bits."""
+    x = np.random.default_rng(3).permutation(2_600_000)
+    assert (suffix_dedup.suffix_array(x) == np.argsort(x)).all()
+
+
+def test_split_anchor(monkeypatch):
+    """An anchor's runs, split by further keys, give the same repeats."""
+    rng = np.random.default_rng(4)
+    line = bytes(rng.integers(97, 123, 71, dtype=np.uint8))
+    sides = [bytes(rng.integers(97, 123, 48, dtype=np.uint8)) for _ in range(40)]
+    texts = [sides[rng.integers(40)] + line + sides[rng.integers(40)] for _ in range(200)]
+    n = np.arange(200)
+
+    def mask():
+        out = np.zeros((200, 167), bool)
+        for d, a, z in suffix_dedup.compare_runs(np.full(200, 5, np.uint64), n, n * 0, texts):
+            out[d, a:z] = True
+        return out
+
+    want = mask()
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 2000)
+    assert want.any() and not want.all() and (mask() == want).all()
