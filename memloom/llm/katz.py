@@ -50,7 +50,7 @@ def _unzip(b: bytes, kind: type) -> np.ndarray:
 
 
 def _zip_keys(a: np.ndarray) -> bytes:
-    """Sorted keys as differences, whose high bytes are zero."""
+    """Keys as differences, whose high bytes are zero where keys rise."""
     return _zip(np.diff(a, prepend=np.uint64(0)))
 
 
@@ -58,6 +58,20 @@ def _unzip_keys(b: bytes) -> np.ndarray:
     return np.cumsum(_unzip(b, np.uint64), dtype=np.uint64)
 
 
+def _zip_values(a: np.ndarray) -> bytes:
+    """Numbers of which many are equal: as places in the list of their values, where that is shorter."""
+    u, at = np.unique(a, return_inverse=True)
+    coded = np.uint32(len(u)).tobytes() + u.tobytes() + _zip(at.astype(np.uint32))
+    return min(b"\1" + coded, b"\0" + _zip(a), key=len)
+
+
+def _unzip_values(b: bytes) -> np.ndarray:
+    if b[:1] == b"\0":
+        return _unzip(b[1:], np.float64)
+    z = 5 + 8 * int(np.frombuffer(b[1:5], np.uint32)[0])
+    return np.frombuffer(b[5:z], np.float64)[_unzip(b[z:], np.uint32)]
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Factors of counts 0 to GT_MAX, and 1 for all larger ones, from n[r - 1] n-grams of count r.
 
@@ -232,10 +246,10 @@ def count_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch([*out, (-1, level, b.column("part")[0].as_py(), None, stats.tolist())], _ANSWER)
 
 
-SHARE = "part long, level int, blk long, keys binary, s0 binary, s1 binary, s2 binary, asked binary"
-WEIGHT = "blk long, level int, part long, s0 binary, s1 binary, s2 binary"
-_SHARE = pa.schema([("part", pa.int64()), ("level", pa.int32()), ("blk", pa.int64()), *((c, pa.binary()) for c in ("keys", "s0", "s1", "s2", "asked"))])
-_WEIGHT = pa.schema([("blk", pa.int64()), ("level", pa.int32()), ("part", pa.int64()), *((c, pa.binary()) for c in ("s0", "s1", "s2"))])
+SHARE = "part long, level int, blk long, keys binary, s1 binary, s2 binary, asked binary"
+WEIGHT = "blk long, level int, part long, s1 binary, s2 binary"
+_SHARE = pa.schema([("part", pa.int64()), ("level", pa.int32()), ("blk", pa.int64()), *((c, pa.binary()) for c in ("keys", "s1", "s2", "asked"))])
+_WEIGHT = pa.schema([("blk", pa.int64()), ("level", pa.int32()), ("part", pa.int64()), *((c, pa.binary()) for c in ("s1", "s2"))])
 
 
 def history_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +258,13 @@ def history_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for b in _runs(group):
             keys = [_unzip_keys(x) for x in b.column("keys").to_pylist()]
             inv = np.unique(np.concatenate(keys), return_inverse=True)[1]
-            sums = [np.bincount(inv, np.concatenate([_unzip(x, np.float64) for x in b.column(c).to_pylist()]))[inv] for c in ("s0", "s1", "s2")]
+            sums = [np.bincount(inv, np.concatenate([_unzip_values(x) for x in b.column(c).to_pylist()]))[inv] for c in ("s1", "s2")]
             end, level, part = np.cumsum([len(k) for k in keys]).tolist(), b.column("level")[0].as_py(), b.column("part")[0].as_py()
             out = []
             for i, (k, z) in enumerate(zip(keys, end, strict=True)):
                 asked = np.flatnonzero(np.frombuffer(b.column("asked")[i].as_py(), bool)) + z - len(k)
                 if len(asked):
-                    out.append((b.column("blk")[i].as_py(), level, part, *(_zip(s[asked]) for s in sums)))
+                    out.append((b.column("blk")[i].as_py(), level, part, *(_zip_values(s[asked]) for s in sums)))
             yield _batch(out, _WEIGHT)
 
 
@@ -260,11 +274,12 @@ def _history(blk: Block, level: int, model: Model) -> tuple[np.ndarray, np.ndarr
     return np.append(low.count, model.docs), np.append(low.abroad, True)
 
 
-def shares(blk: Block, level: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """s0, s1, s2 of the histories of a level from the n-grams that this block sends, and which histories it sends.
+def shares(blk: Block, level: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """s1, s2 of the histories of a level from the n-grams that this block sends, and which histories it sends.
 
-    s0: occurrences; s1: what discounting frees; s2: the seen words' share of the shorter history's
-    distribution, as probabilities at level 2 and as discounted counts above.
+    s1: what discounting frees; s2: the seen words' share of the shorter history's distribution, as
+    probabilities at level 2 and as discounted counts above. No token backs off from a history that no
+    row outside training has: of it only s1 may matter.
     """
     top, low = blk.levels[level - 1], blk.levels[level - 2]
     m = len(low.key) + 1
@@ -272,8 +287,9 @@ def shares(blk: Block, level: int, model: Model) -> tuple[np.ndarray, np.ndarray
     c, p = top.count[own], top.prefix[own]
     lower = model.p1(low.count[top.suffix[own]]) if level == 2 else model.mass(level - 1, low.count[top.suffix[own]])
     count, abroad = _history(blk, level, model)
-    out = [np.bincount(p, w, m) for w in (c, c - model.mass(level, c), lower)]
-    return *out, (out[0] > 0) & (abroad | (count > GT_MAX))
+    s1, s2 = (np.bincount(p, w, m) for w in (c - model.mass(level, c), lower))
+    s2[~abroad] = 0
+    return s1, s2, (s1 > 0) & (count > GT_MAX) | (s2 > 0)
 
 
 def asked(blk: Block, level: int, model: Model) -> np.ndarray:
@@ -291,13 +307,13 @@ def asked(blk: Block, level: int, model: Model) -> np.ndarray:
 
 
 def score_tokens(blk: Block, model: Model, sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 of each token's probability; sums has s0, s1, s2 of each level's histories, zero where not asked."""
+    """log10 of each token's probability; sums has of each level's histories s1 and s2, and whether they were asked for."""
     log = np.zeros(len(blk.tok))
     open_ = np.arange(len(blk.tok))
     weights: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for level in range(2, len(blk.levels) + 1):
-        s0, s1, s2 = sums[level]
-        count, _ = _history(blk, level, model)
+        s1, s2, known = sums[level]
+        s0 = np.where(known, _history(blk, level, model)[0], 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             left = np.where(s1 > 0, s1 / s0, 1 / (s0 + 1))
             keep = np.where((s0 > 0) & (s1 <= 0), s0 / (s0 + 1), 1.0)
@@ -317,7 +333,7 @@ def score_tokens(blk: Block, model: Model, sums: dict[int, tuple[np.ndarray, np.
         log[open_[seen]] += np.log10(keep[h[seen]] * model.mass(level, c[seen]) / count[h[seen]])
         open_, h = open_[~seen], h[~seen]
         log[open_] += np.log10(back[h])
-    log[open_] += np.log10(model.p1(blk.levels[0].count[blk.tok[open_]]))
+    log[open_] += np.log10(model.p1(blk.levels[0].count[blk.levels[0].at[open_]]))
     return log
 
 
@@ -340,10 +356,13 @@ def katz_scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes:
 
         def flush() -> pa.RecordBatch:
             train, n, h = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
-            u, tok = np.unique(h, return_inverse=True)
+            u, tok, count = np.unique(h, return_inverse=True, return_counts=True)
+            by = np.lexsort((u, -count))  # frequent words have small numbers
+            number = np.empty(len(u), np.uint32)
+            number[by] = np.arange(len(u), dtype=np.uint32)
             ids = pa.array([[y for x in held for y in x[0]]], pa.list_(pa.int64()))
             held.clear()
-            blobs = (train.tobytes(), _zip(n.astype(np.int64)), _zip_keys(u), _zip(tok.astype(np.uint32)))
+            blobs = (train.tobytes(), _zip(n.astype(np.int64)), _zip_keys(u[by]), _zip(number[tok]))
             return pa.RecordBatch.from_arrays([pa.array([base + i], pa.int64()), ids, *(pa.array([x], pa.binary()) for x in blobs)], ["blk", "doc_id", "train", "n", "hash", "tok"])
 
         for b in bt.small(batches):
@@ -422,22 +441,21 @@ def katz_scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes:
         out = []
         for level in range(2, order + 1):
             low = block.levels[level - 2]
-            *s, send = shares(block, level, model)
+            s1, s2, send = shares(block, level, model)
             ask = asked(block, level, model)
             key_ = np.append(low.key, low.start)
             at = np.flatnonzero(send | ask)
             at = at[np.argsort(key_[at])]
-            for x in s:
-                x[~send] = 0
+            s1[~send] = 0
             for p, cut in _slices(key_[at], n_parts):
                 i = at[cut]
-                out.append((p, level, blk, _zip_keys(key_[i]), *(_zip(x[i]) for x in s), ask[i].tobytes()))
+                out.append((p, level, blk, _zip_keys(key_[i]), _zip_values(s1[i]), _zip_values(s2[i]), ask[i].tobytes()))
         return _batch_table(out, _SHARE)
 
     sent = met(answers, share, SHARE).repartition(n_parts, "part").sortWithinPartitions("part", "level", "blk")
     weights = scratch.save(sent.mapInArrow(history_tables, WEIGHT), "weights")
     none = F.lit(None).cast("binary")
-    got = answers.select("blk", "level", "part", "found", none.alias("s0"), none.alias("s1"), none.alias("s2")).unionByName(weights.select("blk", "level", "part", none.alias("found"), "s0", "s1", "s2"))
+    got = answers.select("blk", "level", "part", "found", none.alias("s1"), none.alias("s2")).unionByName(weights.select("blk", "level", "part", none.alias("found"), "s1", "s2"))
 
     def evaluate(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
         cols = [("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
@@ -456,12 +474,14 @@ def katz_scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes:
             at = at[np.argsort(key_[at])]
             mine = got.filter(pa.array(levels == level)) if len(levels) else got
             full = []
-            for c in ("s0", "s1", "s2"):
+            for c in ("s1", "s2"):
                 x = np.zeros(len(key_))
-                x[at] = np.concatenate([np.zeros(0), *(_unzip(y, np.float64) for y in mine.column(c).to_pylist())])
+                x[at] = np.concatenate([np.zeros(0), *(_unzip_values(y) for y in mine.column(c).to_pylist())])
                 full.append(x)
-            sums[level] = tuple(full)
-        c = block.levels[0].count[block.tok]
+            known = np.zeros(len(key_), bool)
+            known[at] = True
+            sums[level] = (*full, known)
+        c = block.levels[0].count[block.levels[0].at]
         doc = np.repeat(np.arange(len(block.n)), block.n)
         known, base, score = (np.bincount(doc, x, len(block.n)) for x in (c > 0, model.base(c), score_tokens(block, model, sums)))
         out = [block.ids, pa.array(block.train), pa.array(block.n), pa.array(known.astype(np.int64)), pa.array(np.full(len(block.n), model.n), pa.int64()), pa.array(base), pa.array(score)]
