@@ -72,13 +72,13 @@ def chunks(ids: pa.Array, texts: pa.Array, most: int = 1 << 20) -> Iterator[tupl
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of every text, and the number of each text's first word (one more entry than texts)."""
+def words(data: np.ndarray, off: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of every text, or of its runs of solid bytes, and the number of each text's first word (one more entry than texts)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~_SPACE[data] if solid is None else solid
     head = np.zeros(n + 1, bool)
     head[off] = True
     head[n] = True

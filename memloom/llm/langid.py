@@ -86,10 +86,18 @@ class Profiles:
 
 
 def fit(rows: DataFrame, per_lang: int = PER_LANG, size: int = PROFILE, id_col: str = "doc_id") -> Profiles:
-    """Profiles of the languages of rows (id, text, lang); rows with a null text or lang teach nothing."""
-    rows = rows.select(F.col(id_col).alias("id"), "text", "lang").where("text is not null and lang is not null")
+    """Profiles of the languages of rows (id, text, lang); rows with a null id, text or lang teach nothing.
+
+    A language has its rows of smallest id hash, then of smallest id, at most per_lang. Rows that repeat
+    a chosen id all teach.
+    """
+    rows = rows.select(F.col(id_col).alias("id"), "text", "lang").where("id is not null and text is not null and lang is not null")
+    # Only so many small hashes reach a language's one task; four times the sample, so that it is full all but surely.
+    sizes = rows.groupBy("lang").agg(F.count("lang").alias("n"))
+    bound = F.lit(float(1 << 63)) * F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.col("n"))
+    likely = rows.select("id", "lang").join(sizes, "lang").where(F.xxhash64("id").cast("double") / 2 + float(1 << 62) <= bound)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_lang).select("id", "lang").distinct()
+    chosen = likely.select("id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_lang).select("id", "lang").distinct()
     rows = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # at most per_lang rows a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

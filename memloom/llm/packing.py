@@ -20,6 +20,8 @@ from . import bytetext as bt
 from . import scratch
 
 HASHED, DIMS, BITS = 256, 3, 10
+#: Ranges at most; the driver holds a bound and a sum of each. Larger ranges are sorted with spill and read as streams.
+MOST_RANGES = 1 << 16
 _axes = np.random.default_rng(10).standard_normal((HASHED, DIMS))
 _loaded: dict[str, object] = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -104,7 +106,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, id_col: str = "doc_id", t
     total = rows.agg(F.sum("n")).first()[0] or 0
     if not total:
         return spark.createDataFrame([], PIECES)
-    n_ranges = scratch.parts(spark, 2 * total, 8 << 20)
+    n_ranges = min(scratch.parts(spark, 2 * total, 8 << 20), MOST_RANGES)
     bounds = np.unique(rows.approxQuantile("place", [i / n_ranges for i in range(1, n_ranges)], 0.25 / n_ranges)).astype(np.int64) if n_ranges > 1 else np.zeros(0, np.int64)
 
     def to_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +114,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, id_col: str = "doc_id", t
             yield b.append_column("part", pa.array(np.searchsorted(bounds, b.column("place").to_numpy(zero_copy_only=False), "right"), pa.int64()))
 
     cells = rows.select("place", "n").mapInArrow(to_range, "place long, n long, part long").groupBy("part").agg(F.sum("n").alias("n"))
-    sums = {r.part: r.n for r in cells.collect()}  # a row for each range
+    sums = {r.part: r.n for r in cells.collect()}  # at most MOST_RANGES rows
     base, at = {}, 0
     for k in sorted(sums):
         base[k], at = at, at + sums[k]

@@ -2,12 +2,13 @@
 
 Each language of the corpus has two reference histograms, over all its labelled rows: character
 classes, and its most common words with one bin for all others. A document is compared with every
-language by Jensen-Shannon distance (base 2, 0 to 1) and fails if even its nearest language is too far
-in either histogram. Histograms of few words are noise, so each comparison has a minimum length.
+language by Jensen-Shannon distance (base 2, 0 to 1) and fails if it is too far even from its nearest
+language in either histogram. Histograms of few words are noise, so each comparison has a minimum length.
 
-Common words are exact: a word with a share of at least ``1 / RARE`` of a language's words has that
-share in some task, so each task's words above it are the only candidates, and a second pass counts
-those over all rows.
+Too far is judged by its peers, the documents that pass the base rules, have the same nearest language
+and as many words to the power of two below: above their median by ``SPREADS`` times their median
+absolute deviation, and by ``MARGIN`` at least. Where fewer than ``PEERS`` are alike, those of the
+language's other lengths count, too, and then all. Medians come from counts of distances in thousandths.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from . import scratch
 
-COMMON, RARE = 64, 2000
+COMMON = 64
 MIN_CLASS_WORDS, MIN_COMMON_WORDS = 10, 80
-MAX_CLASS, MAX_COMMON = 0.28, 0.52
+SPREADS, MARGIN, PEERS, BINS = 12.0, 0.1, 50, 1000
+#: Words a task counts before it hands them on.
+HELD_WORDS = 300_000
 
 CLASSES = 7  # lower, upper, digit, space, other letter, sentence mark, symbol
 _CLASS = np.full(256, 6, np.int64)
@@ -79,38 +83,34 @@ def base_rules(text: str, data: np.ndarray) -> tuple[int, int, int, int, int]:
 
 def _tokens(text: str) -> list[str]:
     """Lower-case words without marks at their ends."""
-    return [w for w in (x.strip(".,;:?!'\"()") for x in text.lower().split()) if w]
+    return [w for w in (x.strip(".,;:?!'\"()\x00") for x in text.lower().split()) if w]
 
 
 def fit(docs: DataFrame, common: int = COMMON) -> dict[str, dict]:
-    """Reference histograms by language; at most `common` words of at most `RARE` candidates a language and task come to the driver."""
-    rows = docs.select("text", "lang").where("text is not null and lang is not null")
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-        for b in bt.small(batches):
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(_tokens(text))
-        for lang, c in seen.items():
-            least = sum(c.values()) / RARE
-            top = [w for w, n in c.items() if n >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(top), pa.string()), pa.array(top, pa.string())], ["lang", "word"])
+    """Reference histograms by language: at most `common` words and the classes of each come to the driver.
 
-    words: dict[str, set] = {}
-    for r in rows.mapInArrow(candidates, "lang string, word string").distinct().collect():
-        words.setdefault(r["lang"], set()).add(r["word"])
+    Words are counted over all rows; equal counts rank by word. Rows with a null text or lang teach nothing.
+    """
+    rows = docs.select("text", "lang").where("text is not null and lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, c in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["lang", "word", "n"])
+            sums.clear()
+
         for b in bt.small(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c, own, known = sums.setdefault(lang, Counter()), _tokens(text), words.get(lang, ())
-                c.update(w for w in own if w in known)
+                c, own = sums.setdefault(lang, Counter()), _tokens(text)
+                c.update(own)
                 c["\x00all"] += len(own)
-                for k, v in enumerate(class_counts(np.frombuffer(text.encode(), np.uint8))):
-                    c[f"\x00{k}"] += int(v)
-        for lang, c in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["lang", "word", "n"])
+                for k, v in enumerate(class_counts(np.frombuffer(text.encode(), np.uint8)).tolist()):
+                    c[f"\x00{k}"] += v
+            if sum(map(len, sums.values())) > HELD_WORDS:
+                yield from flush()
+        yield from flush()
 
     sums = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", F.col("word").startswith("\x00")).orderBy(F.desc("n"), "word")
@@ -142,15 +142,52 @@ def verdicts(text: str, data: np.ndarray, refs: dict[str, dict]) -> tuple[float
     return best
 
 
-def apply_rules(docs: DataFrame, refs: dict[str, dict], max_class: float = MAX_CLASS, max_common: float = MAX_COMMON, min_class: int = MIN_CLASS_WORDS, min_common: int = MIN_COMMON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _limit(bins: dict[int, int], spreads: float, margin: float) -> float:
+    """Median of distances in thousandths, plus the allowed spread."""
+
+    def median(c: dict[int, int]) -> int:
+        need, at = (sum(c.values()) + 1) // 2, 0
+        for k in sorted(c):
+            at += c[k]
+            if at >= need:
+                return k
+        return 0
+
+    mid = median(bins)
+    off: dict[int, int] = {}
+    for k, n in bins.items():
+        off[abs(k - mid)] = off.get(abs(k - mid), 0) + n
+    return mid / BINS + max(spreads * median(off) / BINS, margin)
+
+
+def limits(measures: DataFrame, spreads: float = SPREADS, margin: float = MARGIN, peers: int = PEERS) -> list[tuple[str, int, float, float]]:
+    """(nearest, octave, limit of classes, limit of common words); at most BINS counts a language and octave come to the driver."""
+    good = measures.where("not base_failed and nearest is not null")
+    out: dict[tuple, list[float]] = {}
+    for which, col in enumerate(("class_distance", "common_distance")):
+        counts = good.groupBy("nearest", "octave", F.floor(F.col(col) * BINS).cast("int").alias("bin")).count().collect()
+        by: dict[tuple, dict[int, int]] = {}
+        for r in counts:
+            for k in ((r.nearest, r.octave), (r.nearest,), ()):
+                c = by.setdefault(k, {})
+                c[r.bin] = c.get(r.bin, 0) + r["count"]
+        for k in by:
+            if len(k) == 2:
+                enough = next((x for x in (k, k[:1]) if sum(by[x].values()) >= peers), ())
+                out.setdefault(k, [0.0, 0.0])[which] = _limit(by[enough], spreads, margin)
+    return [(*k, *v) for k, v in out.items()]
+
+
+def apply_rules(docs: DataFrame, refs: dict[str, dict], spreads: float = SPREADS, margin: float = MARGIN, peers: int = PEERS, min_class: int = MIN_CLASS_WORDS, min_common: int = MIN_COMMON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row of measures and verdicts for each row of docs.
 
     A null text has no words and fails the base rules. A document with fewer than min_common words is
-    not judged by common words, with fewer than min_class by neither. Without references only the base
-    rules judge. Repeated rows give a row each; an empty table an empty result; other columns are left out.
+    not judged by common words, with fewer than min_class by neither. Equally near languages: the first
+    by name. Without references only the base rules judge. Repeated rows give a row each; an empty table
+    an empty result; other columns are left out.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance", "nearest"]
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "nearest", "octave"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bt.small(batches):
@@ -159,15 +196,17 @@ def apply_rules(docs: DataFrame, refs: dict[str, dict], max_class: float = MAX_C
                 t = t or ""
                 data = np.frombuffer(t.encode(), np.uint8)
                 m = base_rules(t, data)
-                failed = m[0] < 10 or 100 * m[4] > 20 * m[0]
-                x, y, lang = verdicts(t, data, refs)
-                far = lang is not None and (m[0] >= min_class and x > max_class or m[0] >= min_common and y > max_common)
-                out.append((i, *m, failed, not failed and not far, x, y, lang))
+                out.append((i, *m, m[0] < 10 or 100 * m[4] > 20 * m[0], *verdicts(t, data, refs), m[0].bit_length()))
             cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
-            kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
+            kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.float64()] * 2 + [pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, common_distance double, nearest string").withColumnRenamed("doc_id", id_col)
+    measures = scratch.save(docs.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, common_distance double, nearest string, octave int"), "quality")
+    found = docs.sparkSession.createDataFrame(limits(measures, spreads, margin, peers), "nearest string, octave int, max_class double, max_common double")
+    far = (F.col("n_words") >= min_class) & (F.col("class_distance") > F.col("max_class")) | (F.col("n_words") >= min_common) & (F.col("common_distance") > F.col("max_common"))
+    out = measures.join(F.broadcast(found), ["nearest", "octave"], "left")  # a row for each language and octave
+    kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
+    return out.select(F.col("doc_id").alias(id_col), *names[1:7], kept.alias("kept"), "class_distance", "common_distance", "nearest", "max_class", "max_common")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,13 +175,6 @@ def test_katz(spark):
         assert got[i].score < 0
 
 
-def test_licences(spark):
-    rows = [("r/LICENSE", "Licensed under the Apache License, Version 2.0."), ("r/a/b/x", "no notice here"), ("r/a/COPYING", "Released under the MIT License."), ("r/y", "text " * 50 + "\nLicensed under CC BY-NC 4.0.\n"), ("q/z", "nothing"), (None, "All rights reserved."), ("r/a/b/x", None), ("r/e", "")]
-    df = spark.createDataFrame(rows, "path string, text string").withColumn("license", F.lit(1))
-    got = sorted(((r.path or "", r.license, r.license_from) for r in licenses.scan(df).collect()), key=str)
-    assert got == sorted([("r/LICENSE", "Apache-2.0", "r/LICENSE"), ("r/a/b/x", "MIT", "r/a"), ("r/a/COPYING", "MIT", "r/a/COPYING"), ("r/y", "CC-BY-NC-4.0", "r/y"), ("q/z", None, None), ("", "Proprietary", None), ("r/a/b/x", "MIT", "r/a"), ("r/e", "Apache-2.0", "r")], key=str)
-
-
 def test_mixing(spark):
     rows = [(i, "big" if i < 800 else "mid" if i < 950 else None, int(1 + i % 7)) for i in range(1000)]
     df = spark.createDataFrame([*rows, (5000, "none", 0)], "doc_id long, source string, n long").withColumn("mix_epoch", F.lit("x"))
