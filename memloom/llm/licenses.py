@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from . import scratch
 from .license_texts import TEMPLATES, WEAK
 
 LEAST, FILE_SHARE, MIN_WORDS = 0.6, 0.5, 3
@@ -126,7 +127,7 @@ class Templates:
         return names, score, share
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST, keep_text: bool = True) -> DataFrame:
     """files with license, license_score, license_from and license_is_file in place of columns of those names.
 
     license_score is the cosine of the most similar piece, 0 where none reaches `least`. Equally similar
@@ -134,7 +135,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     the file's own path, or that of the directory it inherits from ('' for the root), or null. A null or
     empty text has no licence of its own. A null path neither gives nor inherits. If a directory has
     several licence files, those named so come first, then the highest score, then the first licence by
-    name. Repeated rows give a row each; an empty table an empty result.
+    name. Repeated rows give a row each; an empty table an empty result. Without keep_text, text_col is
+    left out, and the texts are read once instead of twice.
     """
     extra = ["license", "license_score", "license_from", "license_is_file"]
     names = [c for c in files.columns if c not in extra]
@@ -152,6 +154,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
     found = files.mapInArrow(run, f"{kinds}, license string, license_score double, __share double")
+    if not keep_text:
+        names = [c for c in names if c != text_col]
+        found = scratch.save(found.drop(text_col), "licences")
     found = found.withColumn("__dir", F.regexp_extract(F.col(path_col), r"^(.*)/[^/]*$", 1))
     named = F.regexp_extract(F.col(path_col), r"([^/]*)$", 1).rlike(FILE_NAME)
     found = found.withColumn("__named", F.coalesce(named, F.lit(False)))
@@ -161,7 +166,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     speaks = speaks.select("__up", F.col("x.l").alias("__license"))
     # Ancestors of the distinct directories, not of the files; the root is the empty one.
     steps = F.split("__dir", "/")
-    dirs = found.select("__dir").where("__dir is not null").distinct().select("__dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("__depth"))
+    paths = found if not keep_text else files.withColumn("__dir", F.regexp_extract(F.col(path_col), r"^(.*)/[^/]*$", 1))
+    dirs = paths.select("__dir").where("__dir is not null").distinct().select("__dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("__depth"))
     dirs = dirs.withColumn("__up", F.array_join(F.slice(steps, F.lit(1), F.col("__depth")), "/"))
     near = dirs.join(speaks, "__up").groupBy("__dir").agg(F.max(F.struct("__depth", "__up", "__license")).alias("__near"))
     out = found.join(near, "__dir", "left")
@@ -173,4 +179,4 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: a source is a tree, and runs of 4096 and of 64 ids are its directories."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat_ws("/", "source", F.concat(F.lit("d"), F.expr("doc_id div 4096")), F.concat(F.lit("e"), F.expr("doc_id div 64")), F.col("doc_id").cast("string"))
-    return scan(docs.select("doc_id", path.alias("path"), "text")).drop("text")
+    return scan(docs.select("doc_id", path.alias("path"), "text"), keep_text=False)

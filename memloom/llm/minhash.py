@@ -213,6 +213,12 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
             for i, s in _doc_sets(b, size):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i], pa.int64()), pa.array([ids[i]] * len(keys[i]), pa.int64()), pa.array([s.tobytes()] * len(keys[i]), pa.binary())], ["key", "rep", "shingles"])
 
+    def alike(s: np.ndarray, t: np.ndarray) -> bool:
+        if den * min(len(s), len(t)) < num * max(len(s), len(t)):
+            return False
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        return den * both >= num * (len(s) + len(t) - both)
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sorted_groups(batches):
             key, rep = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep"))
@@ -220,18 +226,17 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
             out: list[tuple[int, int]] = []
             edge = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
             for a, z in zip(edge[:-1], edge[1:], strict=True):
-                forest, own = Forest(), {}
+                forest: Forest = Forest()
+                own: dict[int, dict[bytes, None]] = {}
                 for i in range(a, z):
-                    own.setdefault(int(rep[i]), np.frombuffer(sets[i].as_py(), np.uint64))
+                    own.setdefault(int(rep[i]), {})[sets[i].as_py()] = None
                 ids = sorted(own)
+                lists = {x: [np.frombuffer(s, np.uint64) for s in own[x]] for x in ids}  # one set, or more where an id repeats
                 for i, x in enumerate(ids):
                     for y in ids[:i]:
-                        s, t = own[x], own[y]
-                        if forest.find(x) != forest.find(y) and den * min(len(s), len(t)) >= num * max(len(s), len(t)):
-                            both = len(np.intersect1d(s, t, assume_unique=True))
-                            if den * both >= num * (len(s) + len(t) - both):
-                                forest.join(x, y)
-                                out.append((x, y))
+                        if forest.find(x) != forest.find(y) and any(alike(s, t) for s in lists[x] for t in lists[y]):
+                            forest.join(x, y)
+                            out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
 
     n_parts = scratch.parts(docs.sparkSession, 0)

@@ -113,9 +113,13 @@ def fit(docs: DataFrame, common: int = COMMON) -> dict[str, dict]:
         yield from flush()
 
     sums = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang", F.col("word").startswith("\x00")).orderBy(F.desc("n"), "word")
+    sums = scratch.save(sums, "words")
+    mark = F.col("word").startswith("\x00")
+    # Each task hands on a language's first `common` words alone.
+    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    words = sums.where(~mark).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= common).drop("rank")
     refs: dict[str, dict] = {}
-    for r in sums.withColumn("rank", F.row_number().over(top)).where(F.col("word").startswith("\x00") | (F.col("rank") <= common)).collect():
+    for r in words.unionByName(sums.where(mark)).collect():
         refs.setdefault(r["lang"], {})[r["word"]] = r["n"]
     out = {}
     for lang, c in refs.items():

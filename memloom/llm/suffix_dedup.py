@@ -225,7 +225,7 @@ def spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = scratch.parts(spark, total, 8 << 20)
+    n_parts = scratch.parts(spark, total, 4 << 20)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -356,9 +356,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if plain.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         docs = docs.withColumn("__id", F.col(id_col).cast("long"))
     else:  # number the rows in their order
+        # A sorted table's partitions are in order: the partition's number, then the row's place in it.
         ordered = docs.sort(F.col(id_col).cast("long").asc_nulls_last(), F.xxhash64(text_col))
-        numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-        docs = scratch.save(docs.sparkSession.createDataFrame(numbered, StructType(list(docs.schema)).add("__id", "long")), "numbered")
+        docs = scratch.save(ordered.withColumn("__id", F.monotonically_increasing_id()), "numbered")
     plain = docs.select(F.col("__id").alias("doc_id"), F.col(text_col).alias("text"))
     others = [c for c in names if c != text_col]
     kind = StructType([*(f for f in docs.schema if f.name in others), StructField("__id", LongType(), False), StructField("__text", BinaryType())])
