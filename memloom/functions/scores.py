@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log
+from math import exp, log
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,3 +46,27 @@ def memory_score(recent: Column, important: Column | None, relevant: Column, wei
 def importance_from_rating(answer: Column) -> Column:
     """A rating of 1 to 10 as 0 to 1; what is no number is 0."""
     return F.coalesce(F.least(F.greatest((F.try_to_number(F.trim(answer), F.lit("99999")).cast("double") - 1) / 9, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+
+
+def least_mean_square(a: Column, b: Column) -> Column:
+    """Least mean squared difference between any of the vectors a and any of b; null where either has none."""
+    pair = lambda x, y: squared_distance(x, y) / F.size(x)
+    return F.array_min(F.transform(a, lambda x: F.array_min(F.transform(b, lambda y: pair(x, y)))))
+
+
+def contrast_probability(mean_square: Column, scale: float = 1.0, factor: float = 1.0, prior_logit: float = 0.0, weight_logit: float = -5.0) -> Column:
+    """exp(-d factor^2) of the scaled mean square d, blended with a prior."""
+    prior, weight = (1 / (1 + exp(-x)) for x in (prior_logit, weight_logit))
+    return F.lit(prior * weight) + F.exp(-mean_square * F.lit(scale * scale * factor * factor)) * F.lit(1 - weight)
+
+
+def normalized(v: Column) -> Column:
+    """v at unit length; a zero vector stays."""
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: x.cast("double") / F.greatest(size, F.lit(1e-12)))
+
+
+def softmax(v: Column) -> Column:
+    high = F.array_max(v)
+    e = F.transform(v, lambda x: F.exp(x - high))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))

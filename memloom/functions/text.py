@@ -73,3 +73,68 @@ def norm_tokens(toks: Column) -> Column:
     """Lower-case tokens without spaces; sentence-like marks are '.', and one at the end goes."""
     low = F.transform(F.filter(toks, lambda t: F.length(F.trim(t)) > 0), lambda t: F.when(F.lower(t).isin(",", "!", ";", "..", "...", "!!", "!!!"), ".").otherwise(F.lower(t)))
     return F.when(F.element_at(F.concat(F.array(F.lit("")), low), -1) == ".", F.slice(low, F.lit(1), F.size(low) - 1)).otherwise(low)
+
+
+def punctuation(newline: bool = False, colon: bool = False) -> list[str]:
+    """Tokens that end a sentence."""
+    return [".", "!", "?", *(["\n"] if newline else []), *([":"] if colon else [])]
+
+
+def token_at(toks: Column, offset: Column) -> Column:
+    """Index of the token that holds the character at an offset from 0; -1 past the end."""
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(-1).alias("hit"))
+
+    def step(s: Column, t: Column) -> Column:
+        end = s["at"] + F.length(t)
+        return F.struct((s["i"] + 1).alias("i"), end.alias("at"), F.when((s["hit"] < 0) & (offset >= s["at"]) & (offset < end), s["i"]).otherwise(s["hit"]).alias("hit"))
+
+    return F.aggregate(toks, state, step)["hit"].cast("long")
+
+
+def after_last_line(text: Column, ignored: int = 18) -> Column:
+    """What follows the last line break, not counting breaks among the last `ignored` characters; the whole text without one."""
+    head = F.substring(text, F.lit(1), F.greatest(F.length(text) - ignored, F.lit(0)))
+    at = F.length(head) - F.length(F.substring_index(head, "\n", -1))
+    return F.substring(text, at + 1, F.length(text))
+
+
+def within_length(text: Column, most: int = 2048) -> Column:
+    """text, or an error where it is as long as `most`."""
+    return F.when(F.length(text) >= most, F.raise_error(F.lit(f"the input has {most} characters or more"))).otherwise(text)
+
+
+def heading(role: Column, content: Column, event: Column, now: Column) -> Column:
+    """A user's content below how long ago it was; other content as it is."""
+    return F.when(role == "user", F.concat(F.lit("["), elapsed(event, now), F.lit("]\n"), content)).otherwise(content)
+
+
+def fenced(text: Column) -> Column:
+    """A scratchpad as a fenced block."""
+    return F.concat(F.lit("```txt\n"), text, F.lit("\n```"))
+
+
+def indented_json(fields: Column) -> Column:
+    """A map of strings as JSON, three spaces deep, keys in order."""
+    quoted = lambda s: F.substring(F.to_json(F.struct(s.alias("x"))), F.lit(6), F.length(F.to_json(F.struct(s.alias("x")))) - 6)
+    rows = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(F.lit("   "), quoted(e["key"]), F.lit(": "), quoted(e["value"])))
+    return F.concat(F.lit("{\n"), F.array_join(rows, ",\n"), F.lit("\n}"))
+
+
+def tagged_time(t: Column) -> Column:
+    """A time as tagged JSON, and back by from_tagged_time."""
+    return F.concat(F.lit('{"__type__":"datetime","value":"'), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"}'))
+
+
+def from_tagged_time(s: Column) -> Column:
+    return F.to_timestamp(F.get_json_object(s, "$.value"))
+
+
+def processed_values(answer: Column) -> Column:
+    """A rewritten memory: the values below "processed", a line each; null for what is no JSON."""
+    found = F.from_json(answer, "processed map<string,string>")["processed"]
+    return F.array_join(F.map_values(found), "\n")
+
+
+def processed_query(answer: Column) -> Column:
+    """A rewritten query: the text below "processed"."""
+    return F.get_json_object(answer, "$.processed")

@@ -102,6 +102,27 @@ def get_text(placed: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(placed.select("mem_id", "text_key", "text"), ["mem_id", "text_key"], "left")
 
 
+def dirty_chunks(chunked: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Chunks that are not empty and whose length indexed(mem_id, section_id, chunk_no, n_indexed) does not have: those to embed."""
+    n = (F.col("to_seq") - F.col("from_seq")).alias("n_indexed")
+    keys = ["mem_id", "section_id", "chunk_no", "n_indexed"]
+    return chunked.where("to_seq > from_seq").withColumn("n_indexed", n).join(indexed.select(*keys), keys, "left_anti").drop("n_indexed")
+
+
+def edited(texts: DataFrame, new: DataFrame, capacity: int, stride: int, separator: str | None = None) -> DataFrame:
+    """Chunks of texts after the edits new(mem_id, text_key, text), any number a memory, with changed: whether their tokens are other than before.
+
+    Texts keep their keys, places in order and separators, later bounds move with the length; a deleted
+    text is one replaced by nothing. Only memories with edits are laid out; of their chunks those that
+    did not change can keep their vectors.
+    """
+    touched = texts.join(new.select("mem_id").distinct(), "mem_id", "left_semi")
+    old = chunks(place(touched, separator=separator), capacity, stride).select("mem_id", "section_id", "chunk_no", F.md5(F.array_join("tokens", "\x1f").cast("binary")).alias("__digest"))
+    fresh = chunks(place(replace(touched, new), separator=separator), capacity, stride)
+    out = fresh.withColumn("__digest", F.md5(F.array_join("tokens", "\x1f").cast("binary"))).join(old.withColumn("__same", F.lit(True)), ["mem_id", "section_id", "chunk_no", "__digest"], "left")
+    return out.withColumn("changed", F.col("__same").isNull()).drop("__digest", "__same")
+
+
 def delete(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.join(keys, ["mem_id", "text_key"], "left_anti")
 

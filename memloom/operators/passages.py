@@ -14,6 +14,9 @@ def _stops(arr: Column, stops: list[list[str]], last: bool) -> Column:
 
     def ends(s: list[str]) -> Column:
         n = len(s)
+        if n == 1:  # a native search
+            at = F.when(F.array_contains(arr, s[0]), F.size(arr) + 1 - F.array_position(F.reverse(arr), s[0]) if last else F.array_position(arr, s[0])).cast("int")
+            return F.when(at.isNotNull(), F.struct(at.alias("at"), at.alias("end")))
         hits = F.filter(F.sequence(F.lit(1), F.size(arr) - n + 1), lambda i: F.slice(arr, i, F.lit(n)) == F.array(*(F.lit(t) for t in s)))
         hits = F.when(F.size(arr) >= n, hits).otherwise(F.array().cast("array<int>"))
         at = F.array_max(hits) if last else F.array_min(hits)
@@ -39,9 +42,12 @@ def expand(hits: DataFrame, tiles: DataFrame, expansion: Expansion, stride: int,
     h = h.withColumn("__lo", F.greatest(F.col("from_seq") - expansion.most, lo)).withColumn("__hi", F.least(F.col("to_seq") + expansion.most, F.col("section_to")))
     need = h.select(*hits.columns, "__a", "__b", "__lo", "__hi", F.explode(F.sequence(F.floor((F.col("__lo") - F.col("section_from")) / stride), F.floor((F.col("__hi") - 1 - F.col("section_from")) / stride))).alias("chunk_no_"))
     t = tiles.select("mem_id", "section_id", F.col("chunk_no").alias("chunk_no_"), F.slice("tokens", 1, stride).alias("__tile"))
-    keys = [*hits.columns, "__a", "__b", "__lo", "__hi"]
-    keys = [k for k in keys if not dict(hits.dtypes).get(k, "").startswith("map")]
-    got = need.join(t, ["mem_id", "section_id", "chunk_no_"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk_no_", "__tile"))).alias("__tiles"))
+    # A hit is its chunk and query; its other columns follow from those.
+    keys = [c for c in ("query_id", "mem_id", "section_id", "chunk_no", "chunk_id") if c in hits.columns]
+    if not {"chunk_no", "chunk_id"} & set(keys):
+        keys = [c for c in hits.columns if not dict(hits.dtypes)[c].startswith("map")]
+    rest = [c for c in [*hits.columns, "__a", "__b", "__lo", "__hi"] if c not in keys]
+    got = need.join(t, ["mem_id", "section_id", "chunk_no_"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk_no_", "__tile"))).alias("__tiles"), *(F.first(c).alias(c) for c in rest))
     offset = F.col("section_from") + F.element_at("__tiles", 1)["chunk_no_"] * stride
     all_ = F.flatten(F.transform("__tiles", lambda x: x["__tile"]))
     got = got.withColumn("__all", all_).withColumn("__off", offset)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Decay, MemoryConfig
 from ..functions import scores as S
 from ..functions import text as T
+from ..models import Embedder, hashed_embedder
 from ..operators import ingest, passages, vectors
 
 Match = Callable[[DataFrame], DataFrame]
@@ -18,12 +19,12 @@ Rerank = Callable[[DataFrame], DataFrame]
 """Adds `score`, higher is better, to rows of found memories."""
 
 
-def build(texts: DataFrame, config: MemoryConfig | None = None, separator: str | None = None) -> DataFrame:
-    """Chunks of texts(mem_id, ord, text, ...), numbered, retained and embedded."""
+def build(texts: DataFrame, config: MemoryConfig | None = None, separator: str | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """Chunks of texts(mem_id, ord, text, ...), numbered, retained and embedded by the embedder, or by hashed tokens."""
     config = config or MemoryConfig()
     placed = ingest.place(texts, separator=separator)
     out = ingest.retain(ingest.number(ingest.chunks(placed, config.capacity, config.stride)), config.queue)
-    return vectors.embed(out)
+    return (embedder or hashed_embedder()).encode_corpus(out)
 
 
 def recency_rerank(now: float, half_life: float, decay: Decay = Decay.EXPONENTIAL, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), multiplicative: bool = False, use_importance: bool = True) -> Rerank:
@@ -36,7 +37,7 @@ def embedding_match(rows: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", S.match_probability(F.col("distance")))
 
 
-def retrieve(chunked: DataFrame, queries: DataFrame, k: int, config: MemoryConfig | None = None, match: Match | None = None, rerank: Rerank | None = None, rewrite: Callable | None = None) -> DataFrame:
+def retrieve(chunked: DataFrame, queries: DataFrame, k: int, config: MemoryConfig | None = None, match: Match | None = None, rerank: Rerank | None = None, rewrite: Callable | None = None, embedder: Embedder | None = None) -> DataFrame:
     """The k best memories of each query(query_id, query): query_id, rank, chunk_id, passage, bounds, ts, distance, relevance, confidence, importance, text_keys, metadata.
 
     chunked holds one memory. A null or blank query still finds the nearest chunks. rewrite maps the query
@@ -46,7 +47,7 @@ def retrieve(chunked: DataFrame, queries: DataFrame, k: int, config: MemoryConfi
     n_rerank, n_expand, n_find = config.sizes(k, match is not None or rerank is not None)
     text = F.coalesce(F.col("query"), F.lit(""))
     q = queries.withColumn("query", rewrite(text) if rewrite else text)
-    q = vectors.embed(q.withColumn("tokens", T.last_tokens(T.tokens(F.col("query")), config.max_query_tokens)))
+    q = (embedder or hashed_embedder()).encode_queries(q.withColumn("tokens", T.last_tokens(T.tokens(F.col("query")), config.max_query_tokens)))
     hits = vectors.nearest(chunked, q.select("query_id", "embedding"), n_find, id_col="chunk_id").where(F.col("rank") <= n_expand)
     hits = hits.join(chunked.select("mem_id", "section_id", "chunk_id", "from_seq", "to_seq", "section_from", "section_to", "first_seq"), "chunk_id")
     rows = passages.expand(hits, chunked, config.expansion, config.stride).withColumn("ord", F.struct("distance", "chunk_id"))

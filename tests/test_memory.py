@@ -186,3 +186,91 @@ def test_stream(spark, tmp_path):
     got = append.latest(spark.read.parquet(f"{tmp_path}/c")).select("mem_id", "chunk_id", "text")
     want = ingest.number(ingest.chunks(ingest.place(spark.createDataFrame(rows, schema)), 24, 12)).select("mem_id", "chunk_id", "text")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_models():
+    from memloom import models
+
+    assert models.create("hashed:16") is models.create("hashed:16")
+    assert models.create("hashed:16").info() == "hashed:16:1"
+    with pytest.raises(ValueError):
+        models.create("nothing")
+
+
+def test_embedder_hook(spark):
+    """Build and retrieve with a model of one's own: one that only sees the first token's length."""
+    from memloom.config import MemoryConfig
+    from memloom.models import Embedder
+
+    def encode(rows):
+        n = F.length(F.element_at(F.concat("tokens", F.array(F.lit(""))), 1)).cast("float")
+        return rows.withColumn("embedding", F.array(n, F.lit(1.0).cast("float")))
+
+    mine = Embedder("length", 2, encode, encode)
+    texts = spark.createDataFrame([(1, 0, "abcdefgh one"), (1, 1, "ab two"), (1, 2, "abcde three")], "mem_id long, ord long, text string").withColumn("section_id", F.col("ord"))
+    built = retrieve.build(texts, embedder=mine)
+    got = retrieve.retrieve(built, spark.createDataFrame([(9, "xyzzy?")], "query_id long, query string"), 1, MemoryConfig(), embedder=mine).first()
+    assert got.passage == "abcde three"
+
+
+def test_importance_guard(spark):
+    from memloom import models
+
+    rows = spark.range(1)
+    assert models.importance(rows, None, False) is rows
+    with pytest.raises(RuntimeError):
+        models.importance(rows, None, True)
+    assert models.importance(rows, lambda r: r.withColumn("importance", F.lit(0.5)), True).first().importance == 0.5
+
+
+def test_contrast_matcher(spark):
+    from memloom import models
+
+    df = spark.createDataFrame([([[0.0, 0.0]], [[1.0, 1.0], [0.0, 0.0]])], "query_keys array<array<double>>, passage_keys array<array<double>>")
+    assert models.contrast_matcher()(df).first().confidence == pytest.approx(0.5 * 0.0066928509 + 1 - 0.0066928509)
+
+
+def test_sessions(spark):
+    from memloom.plans import sessions as s
+
+    texts = spark.createDataFrame([(1, 0), (1, 4)], "mem_id long, ord long")
+    new = s.new_sessions(texts, spark.createDataFrame([(1, "x"), (2, "y")], "mem_id long, session_id string")).collect()
+    assert [(r.mem_id, r.ord, r.starts_section) for r in new] == [(1, 5, True)]
+    m = spark.createDataFrame([("a", 0, "user", "hi", 1.0), ("a", 1, "assistant", "yo", 2.0)], "session_id string, turn long, role string, content string, ts double")
+    users = spark.createDataFrame([("a", "and?"), ("b", "new")], "session_id string, content string")
+    from memloom.models import TextModel
+
+    out = s.reply(m, users, TextModel(F.upper, 2.0), memory=spark.createDataFrame([("a", "fact")], "session_id string, content string"), system=spark.createDataFrame([("a", "Be kind.")], "session_id string, content string"), now=F.lit(61.0))
+    got = {r.session_id: r for r in out.collect()}
+    assert [(x.role, x.content) for x in got["a"].messages] == [("system", "Be kind."), ("system", "fact"), ("user", "[1 minute(s) ago]\nhi"), ("assistant", "yo"), ("user", "and?")]
+    assert got["b"].reply == "USER: NEW" and got["b"].cost == 2 * got["b"].prompt_tokens
+    after = s.appended(m, users, out, F.lit(61.0))
+    assert {(r.session_id, r.turn, r.role) for r in after.collect()} == {("a", 0, "user"), ("a", 1, "assistant"), ("a", 2, "user"), ("a", 3, "assistant"), ("b", 0, "user"), ("b", 1, "assistant")}
+    assert {r.session_id for r in s.cleared(after, users.where("session_id = 'a'")).collect()} == {"b"} and s.cleared(after).isEmpty()
+    back = s.from_state_text(s.state_text(after)).collect()
+    assert sorted((r.session_id, r.turn, r.content) for r in back if r.session_id == "a") == [("a", 0, "hi"), ("a", 1, "yo"), ("a", 2, "and?"), ("a", 3, got["a"].reply)]
+
+
+def test_merged_queries_lose_overlaps(spark):
+    from memloom.plans import sessions as s
+
+    rows = [("a", 1, 0.9, 0, 10), ("a", 2, 0.8, 5, 15), ("a", 3, 0.7, 20, 30), ("b", 4, 0.1, 0, 10)]
+    df = spark.createDataFrame(rows, "session_id string, chunk_id long, relevance double, p_from long, p_to long")
+    assert sorted(r.chunk_id for r in s.deoverlapped(df).collect()) == [1, 3, 4]
+
+
+def test_text_helpers(spark):
+    r = spark.createDataFrame([("ab c\nlast line with many words in it", [3.0, 4.0], [0.0, 0.0])], "t string, v array<double>, z array<double>").select(
+        T.after_last_line(F.col("t")).alias("a"), T.after_last_line(F.lit("ab\ncd")).alias("b"), T.token_at(F.array(F.lit("ab"), F.lit(" ")), F.lit(2)).alias("c"), T.token_at(F.array(F.lit("ab")), F.lit(2)).alias("d"), S.normalized(F.col("v")).alias("e"), S.softmax(F.col("z")).alias("f"), T.within_length(F.lit("x")).alias("g"),
+    ).first()
+    assert (r.a, r.b, r.c, r.d, r.g) == ("last line with many words in it", "ab\ncd", 1, -1, "x") and r.e == [0.6, 0.8] and r.f == [0.5, 0.5]
+    with pytest.raises(Exception, match="2048"):
+        spark.range(1).select(T.within_length(F.repeat(F.lit("x"), 2048))).collect()
+
+
+def test_negative_passages(spark):
+    from memloom.sources import questions as Q
+
+    df = spark.createDataFrame([(100, 50, True, 0.5), (100, 90, True, 0.0), (30, 15, True, 0.5), (100, 50, False, 0.999)], "n long, a long, same boolean, chance double")
+    got = [r[0] for r in df.select(Q.negative_start(F.col("n"), F.col("a"), 10, 20, F.col("same"), F.col("chance"))).collect()]
+    assert got == [80, 0, None, 90]

@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from memloom import queries
+from memloom import agent_queries, queries
+
+assert agent_queries
 
 SF = "/root/testdata/sf0.001"
 
