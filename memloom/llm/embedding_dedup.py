@@ -2,8 +2,9 @@
 
 Vectors of one label are compared by cosine; on the unit sphere a cosine of at least c is a distance of
 at most sqrt(2 - 2c). Equal vectors form a class that goes on as one. A label's classes are cut into
-blocks: by the nearest of some of its own vectors, the tree's upper level, and within those by a hash
-where a block would be too large. Blocks too far apart by their covering radii are never paired.
+blocks: by the nearest of some of its own vectors, the tree's upper level, within those by rings of the
+distance to it, and by a hash where a block would still be too large. Blocks too far apart by their
+covering radii or rings are never paired.
 
 A pair of blocks meets in one task. There each block becomes a cover tree: nested levels of centres with
 halving radii. Both trees are walked together; a pair of nodes is dropped when its centres are further
@@ -24,6 +25,8 @@ from . import scratch
 from .components import Forest, components
 
 COSINE, BLOCK, PIVOTS = 0.98, 1024, 4096
+#: Nodes of so few rows are not split.
+LEAF = 8
 RADII = tuple(2.0 / 2**i for i in range(1, 6))
 SLACK = 1e-6
 
@@ -34,29 +37,34 @@ class CoverTree:
     def __init__(self, x: np.ndarray):
         self.x = x
         n = len(x)
+        dots = x @ x.T  # a block's own, so of bounded size
         self.nodes: list[list[np.ndarray]] = [[np.arange(n)]]  # rows below each node, its centre first
         self.children: list[list[list[int]]] = []
         for r in RADII:
             level, links = [], []
             for rows in self.nodes[-1]:
-                left, own = rows, []
-                if len(rows) == 1:
+                own = []
+                if len(rows) <= LEAF:
                     own.append(len(level))
                     level.append(rows)
-                    left = rows[:0]
-                while len(left):
-                    near = np.sqrt(np.maximum(0, 2 - 2 * (x[left] @ x[left[0]]))) <= r
-                    near[0] = True
-                    own.append(len(level))
-                    level.append(left[near])
-                    left = left[~near]
+                    links.append(own)
+                    continue
+                near, left = dots[np.ix_(rows, rows)] >= 1 - r * r / 2, np.ones(len(rows), bool)
+                for c in range(len(rows)):
+                    if left[c]:
+                        mine = near[c] & left
+                        mine[c] = False
+                        left &= ~mine
+                        left[c] = False
+                        own.append(len(level))
+                        level.append(np.append(rows[c], rows[mine]))
                 links.append(own)
             self.nodes.append(level)
             self.children.append(links)
-            if all(len(rows) == 1 for rows in level):
+            if all(len(rows) <= LEAF for rows in level):
                 break
         self.centre = [np.array([rows[0] for rows in level]) for level in self.nodes]
-        self.radius = [np.array([np.sqrt(max(0.0, 2 - 2 * float((x[rows] @ x[rows[0]]).min()))) for rows in level]) for level in self.nodes]
+        self.radius = [np.array([np.sqrt(max(0.0, 2 - 2 * float(dots[rows[0], rows].min()))) for rows in level]) for level in self.nodes]
 
 
 def dual_links(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
@@ -201,26 +209,29 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.int32()), pa.array(dists, pa.float64())], [*b.schema.names, "cell", "dist"])
 
     routed = scratch.save(classes.mapInArrow(route, classes.schema.simpleString()[7:-1].replace(":", " ") + ", cell int, dist double"), "routed")
-    cells = routed.groupBy("label", F.length("unit").alias("dim"), "cell").agg(F.count("rep").alias("m"), F.max("dist").alias("radius"))
-    cells = cells.withColumn("subs", F.ceil(F.col("m") / F.lit(block)).cast("int"))
-    members = routed.withColumn("dim", F.length("unit")).join(cells.select("label", "dim", "cell", "subs"), ["label", "dim", "cell"])
-    members = members.withColumn("block", F.xxhash64("label", "dim", "cell", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("subs")))).select("block", "rep", "n", "unit")
-    blocks = cells.select("label", "dim", "cell", "radius", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    blocks = scratch.save(blocks.withColumn("block", F.xxhash64("label", "dim", "cell", F.col("sub").cast("long"))), "blocks")
     far = float(np.sqrt(2 - 2 * cosine))
+    routed = routed.withColumn("ring", F.floor(F.col("dist") / F.lit(max(far, 0.05))).cast("int"))
+    cells = routed.groupBy("label", F.length("unit").alias("dim"), "cell", "ring").agg(F.count("rep").alias("m"), F.max("dist").alias("radius"), F.min("dist").alias("inner"))
+    cells = cells.withColumn("subs", F.ceil(F.col("m") / F.lit(block)).cast("int"))
+    members = routed.withColumn("dim", F.length("unit")).join(cells.select("label", "dim", "cell", "ring", "subs"), ["label", "dim", "cell", "ring"])
+    members = members.withColumn("block", F.xxhash64("label", "dim", "cell", "ring", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("subs")))).select("block", "rep", "n", "unit")
+    blocks = cells.select("label", "dim", "cell", "ring", "radius", "inner", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+    blocks = scratch.save(blocks.withColumn("block", F.xxhash64("label", "dim", "cell", "ring", F.col("sub").cast("long"))), "blocks")
 
     def pairs_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for label, dim, ca, ra, cb, rb in zip(*(b.column(c).to_pylist() for c in ("label", "dim", "cell", "radius", "cell2", "radius2")), strict=True):
+            for label, dim, ca, ra, ia, cb, rb, ib in zip(*(b.column(c).to_pylist() for c in ("label", "dim", "cell", "radius", "inner", "cell2", "radius2", "inner2")), strict=True):
                 c = centres.get((label, dim))
-                keep.append(c is None or ca == cb or np.sqrt(max(0.0, 2 - 2 * float(c[ca] @ c[cb]))) <= ra + rb + far + SLACK)
+                d = 0.0 if c is None or ca == cb else np.sqrt(max(0.0, 2 - 2 * float(c[ca] @ c[cb])))
+                # All of one block lie between inner and radius from its centre.
+                keep.append(d <= ra + rb + far + SLACK and ia <= d + rb + far + SLACK and ib <= d + ra + far + SLACK)
             yield b.select(["block", "block2"]).filter(pa.array(keep, pa.bool_()))
 
     # A label may hold most blocks: its left side is dealt over salts, its right side goes to each.
     salts = 16
     left = blocks.withColumn("salt", F.pmod("block", F.lit(salts)).cast("int"))
-    right = blocks.select("label", "dim", F.col("cell").alias("cell2"), F.col("radius").alias("radius2"), F.col("block").alias("block2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    right = blocks.select("label", "dim", F.col("cell").alias("cell2"), F.col("radius").alias("radius2"), F.col("inner").alias("inner2"), F.col("block").alias("block2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     pairs = left.join(right, ["label", "dim", "salt"]).where("block <= block2").mapInArrow(pairs_apart, "block long, block2 long")
     pairs = pairs.withColumn("pair", F.xxhash64("block", "block2"))
     sides = pairs.select("pair", "block", F.lit(0).alias("side")).unionByName(pairs.where("block <> block2").select("pair", F.col("block2").alias("block"), F.lit(1).alias("side")))
