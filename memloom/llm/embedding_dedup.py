@@ -210,10 +210,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
 
     routed = scratch.save(classes.mapInArrow(route, classes.schema.simpleString()[7:-1].replace(":", " ") + ", cell int, dist double"), "routed")
     far = float(np.sqrt(2 - 2 * cosine))
-    routed = routed.withColumn("ring", F.floor(F.col("dist") / F.lit(max(far, 0.05))).cast("int"))
-    cells = routed.groupBy("label", F.length("unit").alias("dim"), "cell", "ring").agg(F.count("rep").alias("m"), F.max("dist").alias("radius"), F.min("dist").alias("inner"))
-    cells = cells.withColumn("subs", F.ceil(F.col("m") / F.lit(block)).cast("int"))
-    members = routed.withColumn("dim", F.length("unit")).join(cells.select("label", "dim", "cell", "ring", "subs"), ["label", "dim", "cell", "ring"])
+    # Rings only in cells of several blocks; smaller ones would only make more pairs.
+    most = 2 * block
+    wide = routed.groupBy("label", F.length("unit").alias("dim"), "cell").agg(F.count("rep").alias("m")).where(F.col("m") > 2 * most).select("label", "dim", "cell", F.lit(True).alias("wide"))
+    routed = routed.withColumn("dim", F.length("unit")).join(wide, ["label", "dim", "cell"], "left")
+    routed = routed.withColumn("ring", F.when(F.col("wide"), F.floor(F.col("dist") / F.lit(max(far, 0.05))).cast("int")).otherwise(0)).drop("wide")
+    cells = routed.groupBy("label", "dim", "cell", "ring").agg(F.count("rep").alias("m"), F.max("dist").alias("radius"), F.min("dist").alias("inner"))
+    cells = cells.withColumn("subs", F.ceil(F.col("m") / F.lit(most)).cast("int"))
+    members = routed.join(cells.select("label", "dim", "cell", "ring", "subs"), ["label", "dim", "cell", "ring"])
     members = members.withColumn("block", F.xxhash64("label", "dim", "cell", "ring", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("subs")))).select("block", "rep", "n", "unit")
     blocks = cells.select("label", "dim", "cell", "ring", "radius", "inner", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     blocks = scratch.save(blocks.withColumn("block", F.xxhash64("label", "dim", "cell", "ring", F.col("sub").cast("long"))), "blocks")
