@@ -5,11 +5,11 @@ class goes on as one. A class has a sketch of ``SKETCH`` minwise values. In each
 walks a path: the path so far chooses one minwise function, and that function's minwise token of the
 set is the next branch. A node of at most ``NODE`` classes is compared exhaustively by sketches; the
 classes of larger ones go to the next depth. At the last depth a larger node is cut into parts that
-share its pivots. Then the classes of large nodes walk as many trees as pairs at the threshold need at
-each further depth, and all pairs of different components that meet are compared, in a large node of
-the last depth by pairs of blocks. Classes whose sketches could reach the threshold are
-confirmed on their full sets, of which only such classes' are shuffled. Links leave a task as a
-spanning forest.
+share its pivots. Then in a large node all pairs of different components are compared by pairs of blocks,
+unless so many classes are outside its largest component that further trees cost less: then its classes
+walk as many trees as pairs at the threshold need at the next depth. At the last depth all such pairs
+are compared. Classes whose sketches could reach the threshold are confirmed on their full sets, of which
+only such classes' are shuffled, and only across components. Links leave a task as a spanning forest.
 """
 
 from __future__ import annotations
@@ -96,23 +96,61 @@ def _pairs_in_runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (h + i).ravel(), (h + j).ravel()
 
 
+def _mixed(member: DataFrame) -> DataFrame:
+    """The rows of member(node, rep, comp) in nodes of several components, with the node's largest one as home and how many rows it and the others have."""
+    sizes = member.groupBy("node", "comp").agg(F.count("rep").alias("c"))
+    sizes = sizes.groupBy("node").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).where("all > top.c")
+    return member.join(sizes.select("node", F.col("top.comp").alias("home"), F.col("top.c").alias("at_home"), (F.col("all") - F.col("top.c")).alias("outside")), "node")
+
+
 def _across(member: DataFrame) -> DataFrame:
-    """(key, rep, comp) that bring together all pairs of different comp of each node of member(node, rep, comp).
+    """(key, rep, comp) that bring together all pairs of different comp of each node of member(node, rep, comp)."""
+    return _blocks(_mixed(member))
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """(key, rep, comp) that bring together all pairs of different comp of each node of _mixed().
 
     The members outside a node's largest component meet all blocks, those of the largest only the others' blocks.
     """
-    sizes = member.groupBy("node", "comp").agg(F.count("rep").alias("c"))
-    sizes = sizes.groupBy("node").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).where("all > top.c")
     half = NODE // 2
-    sizes = sizes.select("node", F.col("top.comp").alias("home"), F.ceil((F.col("all") - F.col("top.c")) / half).cast("long").alias("others"), F.ceil(F.col("top.c") / half).cast("long").alias("homes"))
     at_home = F.col("comp") == F.col("home")
-    rows = member.join(sizes, "node")
+    rows = mixed.select("node", "rep", "comp", "home", F.ceil(F.col("outside") / half).cast("long").alias("others"), F.ceil(F.col("at_home") / half).cast("long").alias("homes"))
     block = F.when(at_home, F.col("others") + F.pmod(F.xxhash64("rep", "node"), F.col("homes"))).otherwise(F.pmod(F.xxhash64("rep", "node"), F.col("others")))
     meets = F.sequence(F.lit(0).cast("long"), F.when(at_home, F.col("others")).otherwise(F.col("others") + F.col("homes")) - 1)
     rows = rows.select("node", "rep", "comp", block.alias("block"), F.explode(meets).alias("other"))
     return rows.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rep", "comp")
 
 
+def _links(sets: list[np.ndarray], comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of non-empty sets of different comp, as pairs of comp."""
+    out: list[tuple[int, int]] = []
+    size = np.array([len(s) for s in sets])
+    start = np.append(0, np.cumsum(size))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(ids.max() + 1, np.int64)
+    root = comp.copy()
+    for i in range(1, len(sets)):
+        fits = den * np.minimum(size[:i], size[i]) >= num * np.maximum(size[:i], size[i])
+        own = ids[start[i] : start[i + 1]]
+        marked[own] = 1
+        # One earlier set first: in a family it links and leaves no others to count.
+        for most in (1, i):
+            at = np.flatnonzero(fits & (root[:i] != root[i]))[:most]
+            if not len(at):
+                break
+            if most == 1:
+                both = marked[ids[start[at[0]] : start[at[0] + 1]]].sum(keepdims=True)
+            else:
+                both = np.add.reduceat(marked[ids[: start[i]]], start[:i])[at]
+            for j in at[den * both >= num * (size[at] + size[i] - both)].tolist():
+                if root[j] != root[i]:
+                    out.append((int(comp[i]), int(comp[j])))
+                    root[root == root[j]] = root[i]
+        marked[own] = 0
+    return out
+
+
 def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept for each row of docs.
 
@@ -138,53 +176,74 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
     # Equal keys have equal sketches, so any row's sketch stands for the class.
     classes = scratch.save(described.where("set_key is not null and doc_id is not null").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
 
-    def walk(depth: int, trees: int):
+    counts = tree_counts(num / den)
+
+    def walk(active: DataFrame, depth: int, trees: int) -> DataFrame:
+        """(node, rep, comp) of each tree of active(rep, comp, sketch)."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in bt.small(batches):
                 for i in range(0, b.num_rows, 4096):
                     part = b.slice(i, 4096)
                     sk = _sketches(part)
                     for t in range(trees):
-                        yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(paths(sk, t, (depth,))[0])], ["rep", "node"])
-
-        return run
+                        yield pa.RecordBatch.from_arrays([pa.array(paths(sk, t, (depth,))[0]), part.column("rep"), part.column("comp")], ["node", "rep", "comp"])
 
-    k, counts = "node", tree_counts(num / den)
+        return active.select("rep", "comp", "sketch").mapInArrow(run, "node long, rep long, comp long")
 
-    def descend(active: DataFrame, plan: list[tuple[int, int]], comp: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-        """(key, rep, comp) of classes to compare, and the classes of large nodes of the first depth.
+    def going_on(large: DataFrame) -> DataFrame:
+        """The classes of the rows of large(rep, comp), with their sketches."""
+        return scratch.save(classes.select("rep", "sketch").join(large.select("rep", "comp").distinct(), "rep"), "large-nodes")
 
-        Two classes of a large node both go on, so a pair is lost only if at some depth no tree brings
-        it together. With comp, nodes of one component are left out, and at the end all others compared.
-        """
-        leaves, first = [], None
-        for d, trees in plan:
-            cur = active.mapInArrow(walk(d, trees), "rep long, node long")
-            cur = cur.withColumn("comp", F.col("rep")) if comp is None else cur.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            cur = scratch.save(cur, "paths")
-            last = d == plan[-1][0]
-            n = cur.groupBy(k).agg(F.count("rep").alias("members"), (F.min("comp") < F.max("comp")).alias("mixed"), *((F.min_by("rep", F.xxhash64("rep", F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)) if last and comp is None else ())).where("mixed")
-            if not last or comp is not None:
-                leaves.append(cur.join(n.where(f"members <= {NODE}").select(k), k).select(F.col(k).alias("key"), "rep", "comp"))
-            if not last:
-                big = cur.join(n.where(f"members > {NODE}").select(k), k).select("rep").distinct()
-                active = scratch.save(classes.select("rep", "sketch").join(big, "rep"), "large-nodes")
-                first = active if first is None else first
-                if active.isEmpty():
-                    break
-            elif comp is not None:
-                leaves.append(_across(cur.join(n.where(f"members > {NODE}").select(k), k)))
-            else:
-                n_parts = F.ceil(F.col("members") / (NODE - PIVOTS)).cast("long")
-                n = scratch.save(n.withColumn("parts", n_parts), "last-nodes")
-                part_key = F.xxhash64(F.col(k), F.pmod(F.xxhash64("rep", F.col(k)), F.col("parts")))
-                leaves.append(cur.join(n, k).select(part_key.alias("key"), "rep", "comp"))
-                pivots = n.where("parts > 1").select(k, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array(*(f"p{p}" for p in range(PIVOTS))).alias("p"))
-                leaves.append(pivots.select(F.xxhash64(k, "part").alias("key"), F.explode("p").alias("rep")).withColumn("comp", F.col("rep")))
+    def united(leaves: list[DataFrame]) -> DataFrame:
         leaf = leaves[0]
         for x in leaves[1:]:
             leaf = leaf.unionByName(x)
-        return leaf.distinct(), first
+        return leaf
+
+    def descend() -> tuple[DataFrame, DataFrame]:
+        """(key, rep, comp) of classes to compare, each its own component, and the rows of the large nodes of the first depth."""
+        active, leaves, first = classes.withColumn("comp", F.col("rep")), [], None
+        for d in DEPTHS[:-1]:
+            cur = walk(active, d, counts[0])
+            n = cur.groupBy("node").agg(F.count("rep").alias("members")).where("members > 1")
+            cur = scratch.save(cur.join(n, "node"), "paths")
+            leaves.append(cur.where(f"members <= {NODE}").select(F.col("node").alias("key"), "rep", "comp"))
+            large = cur.where(f"members > {NODE}").drop("members")
+            first = large if first is None else first
+            active = going_on(large)
+            if active.isEmpty():
+                return united(leaves), first
+        cur = walk(active, DEPTHS[-1], counts[0])
+        pivots = F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(p))) for p in range(PIVOTS)))
+        n = cur.groupBy("node").agg(F.count("rep").alias("members"), pivots.alias("pivots")).where("members > 1")
+        n = n.select("node", "pivots", F.ceil(F.col("members") / (NODE - PIVOTS)).cast("long").alias("parts"))
+        own = F.array(F.pmod(F.xxhash64("rep", "node"), F.col("parts")))
+        part = F.when(F.array_contains("pivots", F.col("rep")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)
+        rows = cur.join(n, "node").select("node", "rep", "comp", F.explode(part).alias("part"))
+        return united([*leaves, rows.select(F.xxhash64("node", "part").alias("key"), "rep", "comp")]), first
+
+    def rest(first: DataFrame, comp: DataFrame) -> DataFrame:
+        """(key, rep, comp) of the pairs of different comp that descend() left in large nodes.
+
+        A large node is compared at once if each class so meets no more others than in full small nodes of
+        all further trees. Both classes of a pair in another one go on, so a pair is lost only if at some
+        depth no tree brings it together.
+        """
+        known = lambda rows: rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        cur, leaves = known(first.select("node", "rep")), []
+        for i, d in enumerate(DEPTHS):
+            if i:
+                cur = walk(active, d, counts[i])
+            cur = scratch.save(_mixed(cur), "mixed-nodes")
+            small, few = F.col("at_home") + F.col("outside") <= NODE, F.col("outside") * counts[i] <= NODE * sum(counts[i + 1 :])
+            leaves.append(cur.where(small).select(F.col("node").alias("key"), "rep", "comp"))
+            leaves.append(_blocks(cur.where(~small if d == DEPTHS[-1] else ~small & few)))
+            if d < DEPTHS[-1]:
+                active = going_on(cur.where(~small & ~few))
+                if active.isEmpty():
+                    break
+        return united(leaves)
 
     least = num / den - 4 * (num / den * (1 - num / den) / SKETCH) ** 0.5
 
@@ -203,58 +262,43 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
                         forest.join(u, v)
             found: dict[int, list[int]] = {}
             for u in forest.parent:
-                found.setdefault(forest.find(u), []).append(int(rep[u]))
-            groups = [sorted(set(x)) for x in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.list_(pa.int64()))], ["members"])
+                found.setdefault(forest.find(u), []).append((int(rep[u]), int(comp[u])))
+            groups = [[{"rep": r, "comp": c} for r, c in sorted(set(x))] for x in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.list_(pa.struct([("rep", pa.int64()), ("comp", pa.int64())])))], ["members"])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bt.small(batches):
-            ids, keys = b.column(0).to_pylist(), b.column(2).to_pylist()
+            ids, comps, keys = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
             for i, s in _doc_sets(b, size):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i], pa.int64()), pa.array([ids[i]] * len(keys[i]), pa.int64()), pa.array([s.tobytes()] * len(keys[i]), pa.binary())], ["key", "rep", "shingles"])
-
-    def alike(s: np.ndarray, t: np.ndarray) -> bool:
-        if den * min(len(s), len(t)) < num * max(len(s), len(t)):
-            return False
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        return den * both >= num * (len(s) + len(t) - both)
+                m = len(keys[i]) if len(s) else 0
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i][:m], pa.int64()), pa.array([ids[i]] * m, pa.int64()), pa.array([comps[i]] * m, pa.int64()), pa.array([s.tobytes()] * m, pa.binary())], ["key", "rep", "comp", "shingles"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sorted_groups(batches):
-            key, rep = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep"))
+            key, rep, comp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "comp"))
             sets = b.column("shingles")
             out: list[tuple[int, int]] = []
             edge = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
             for a, z in zip(edge[:-1], edge[1:], strict=True):
-                forest: Forest = Forest()
-                own: dict[int, dict[bytes, None]] = {}
-                for i in range(a, z):
-                    own.setdefault(int(rep[i]), {})[sets[i].as_py()] = None
-                ids = sorted(own)
-                lists = {x: [np.frombuffer(s, np.uint64) for s in own[x]] for x in ids}  # one set, or more where an id repeats
-                for i, x in enumerate(ids):
-                    for y in ids[:i]:
-                        if forest.find(x) != forest.find(y) and any(alike(s, t) for s in lists[x] for t in lists[y]):
-                            forest.join(x, y)
-                            out.append((x, y))
+                rows = np.lexsort((rep[a:z], comp[a:z])) + a
+                out += _links([np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in rows], comp[rows], num, den)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
 
     n_parts = scratch.parts(docs.sparkSession, 0)
 
     def linked(leaf: DataFrame) -> DataFrame:
-        """Links (u, v) between the classes of different comp that share a key of leaf(key, rep, comp)."""
+        """Links (u, v) of components, between classes of different comp that share a key of leaf(key, rep, comp)."""
         leaf = leaf.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "n", "comp", "sketch").repartition(n_parts, "key").sortWithinPartitions("key")
-        groups = leaf.mapInArrow(compare, "members array<long>").groupBy(F.xxhash64("members").alias("key"), "members").agg(F.lit(1)).select("key", F.explode("members").alias("doc_id"))
-        asked = scratch.save(groups.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "candidates")  # a few keys for each tree at most
-        sets = docs.join(asked, "doc_id").select("doc_id", "text", "keys").mapInArrow(to_sets, "key long, rep long, shingles binary")
+        groups = leaf.mapInArrow(compare, "members array<struct<rep: long, comp: long>>").groupBy(F.xxhash64("members").alias("key"), "members").agg(F.lit(1)).select("key", F.inline("members"))
+        asked = scratch.save(groups.groupBy(F.col("rep").alias("doc_id"), "comp").agg(F.collect_set("key").alias("keys")), "candidates")  # a few keys for each tree at most
+        sets = docs.join(asked, "doc_id").select("doc_id", "text", "comp", "keys").mapInArrow(to_sets, "key long, rep long, comp long, shingles binary")
         return sets.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(confirm, "u long, v long")
 
-    # The first depth's trees link the large families; the further trees deeper nodes need serve what is left.
-    leaf, large = descend(classes.select("rep", "sketch"), [(d, counts[0]) for d in DEPTHS])
+    # The first depth's trees link the large families; what large nodes then hold of several components is compared after that.
+    leaf, first = descend()
     comp = components(linked(leaf))
-    if not large.isEmpty():
-        leaf, _ = descend(large, list(zip(DEPTHS[1:], counts[1:], strict=True)), comp.select(F.col("id").alias("rep"), F.col("component_id").alias("comp")))
-        more = scratch.save(linked(leaf), "more-links")
+    if not first.isEmpty():
+        more = scratch.save(linked(rest(first, comp.select(F.col("id").alias("rep"), F.col("component_id").alias("comp")))), "more-links")
         if not more.isEmpty():
             comp = components(comp.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(more))
     of_class = classes.select("set_key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
