@@ -53,14 +53,19 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(f)
 
 
-def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
+def components(links: DataFrame, a: str = "u", b: str = "v", at_once: int = 0) -> DataFrame:
     """(id, component_id) of every id in links; component_id is the smallest id that links reach.
 
     Rows with a null end are no links. Repeated links and links of an id with itself change nothing.
-    An id without links is not returned. Each round writes its links, so lineage stays short.
+    An id without links is not returned. Each round writes its links, so lineage stays short. Where at
+    most at_once links, or 250,000, are left once each task has joined its own, one task joins them all.
     """
     stars = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(local_forest, "u long, v long")
     cur, mark = scratch.save(stars, "links"), None
+    if at_once and (cur.count() <= min(at_once, 250_000)):  # so few that local_forest flushes nothing before the end
+        one = scratch.save(cur.coalesce(1).mapInArrow(local_forest, "u long, v long"), "small")
+        scratch.drop(cur)
+        return _with_roots(one)
     while True:
         both = cur.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(cur.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -75,7 +80,11 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         if now == mark:
             break
         mark = now
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+    return _with_roots(cur)
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[pa.RecordBatch]:

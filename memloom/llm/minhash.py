@@ -31,6 +31,8 @@ DEPTHS = (3, 5, 8)
 #: Share of the pairs at the threshold that may meet in no node, over all depths.
 MISS = 0.001
 PIVOTS = 8
+#: Up to so many links are joined to components in one task, a few dozen MB there; more in rounds of all tasks.
+LINKS = 200_000
 NUM, DEN, SIZE = 85, 100, 5
 _rng = np.random.default_rng(9)
 _A = _rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -296,11 +298,11 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
 
     # The first depth's trees link the large families; what large nodes then hold of several components is compared after that.
     leaf, first = descend()
-    comp = components(linked(leaf))
+    comp = components(linked(leaf), at_once=LINKS)
     if not first.isEmpty():
         more = scratch.save(linked(rest(first, comp.select(F.col("id").alias("rep"), F.col("component_id").alias("comp")))), "more-links")
         if not more.isEmpty():
-            comp = components(comp.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(more))
+            comp = components(comp.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(more), at_once=LINKS)
     of_class = classes.select("set_key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))

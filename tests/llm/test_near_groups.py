@@ -83,3 +83,15 @@ def test_links_of_sets():
         for a, b in minhash._links(sets, comp, 85, 100):
             assert got.join(a, b) and any(near(s, t) for s, p in zip(sets, comp) for t, q in zip(sets, comp) if (p, q) == (a, b))
         assert [got.find(x) for x in range(n)] == [want.find(x) for x in range(n)]
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """A small table of links is joined in one more step, with the result of the rounds."""
+    rng = np.random.default_rng(2)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 900, (600, 2))] + [(i, i + 1) for i in range(1000, 1300)] + [(None, 3)], "u long, v long").repartition(7)
+    want = sorted(map(tuple, components.components(links).collect()))
+    names, save = [], scratch.save
+    monkeypatch.setattr(scratch, "save", lambda df, name: names.append(name) or save(df, name))
+    assert sorted(map(tuple, components.components(links, at_once=10_000).collect())) == want
+    assert names == ["links", "small"]
+    assert sorted(map(tuple, components.components(links, at_once=10).collect())) == want
