@@ -232,8 +232,7 @@ def near_groups(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SIZ
         all further trees. Both classes of a pair in another one go on, so a pair is lost only if at some
         depth no tree brings it together.
         """
-        known = lambda rows: rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        cur, leaves = known(first.select("node", "rep")), []
+        cur, leaves = first.select("node", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), []
         for i, d in enumerate(DEPTHS):
             if i:
                 cur = walk(active, d, counts[i])
