@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Expansion
 from ..functions import text as T
 
+#: Chunks of an Arrow batch, about; and a place for each row of it, wider than a text.
+BATCH, WIDE = 1 << 18, 1 << 40
+
+
+def stops_of(expansion: Expansion) -> list[list[str]]:
+    """The tokens of each stop of the expansion's limit."""
+    return [re.findall(r"\s|\w+|[^\w\s]", s) for s in expansion.limit.value]
+
 
 def _stops(arr: Column, stops: list[list[str]], last: bool) -> Column:
     """Length to cut: through the last stop of arr, or through the first. Null without one. The earliest or latest start counts, then the first stop."""
@@ -33,9 +46,7 @@ def expand(hits: DataFrame, tiles: DataFrame, expansion: Expansion, stride: int,
     the first `stride` tokens of each make the section again; a passage joins the few it covers by key.
     """
     if stop_tokens is None:
-        import re
-
-        stop_tokens = [[t for t in re.findall(r"\s|\w+|[^\w\s]", s)] for s in expansion.limit.value]
+        stop_tokens = stops_of(expansion)
     lo = F.greatest("section_from", "first_seq")
     h = hits
     h = h.withColumn("__a", F.greatest(F.col("from_seq") - expansion.least, lo)).withColumn("__b", F.least(F.col("to_seq") + expansion.least, F.col("section_to")))
@@ -64,6 +75,78 @@ def expand(hits: DataFrame, tiles: DataFrame, expansion: Expansion, stride: int,
     return got.withColumn("passage", F.array_join("p_tokens", "")).select(*hits.columns, "p_from", "p_to", "p_tokens", "passage")
 
 
+def expand_all(placed: DataFrame, expansion: Expansion, capacity: int, stride: int, stop_tokens: list[list[str]] | None = None, alone: bool = False) -> DataFrame:
+    """mem_id, section_id, chunk_no, p_from, p_to of every chunk of placed texts, as expand() has them where no chunk is retired.
+
+    No chunk is joined or grouped: a text finds the stops among its tokens and the few of its section beside
+    them, and its chunks look those up. alone: as placed, each text is a memory of its own.
+    """
+    if stop_tokens is None:
+        stop_tokens = stops_of(expansion)
+    sizes = sorted({len(s) for s in stop_tokens})
+    rows = placed.where("n_tokens > 0").withColumn("__base", F.col("from_seq")).withColumn("__ctx", F.col("tokens"))
+    if sizes and not alone:
+        n, m = max(expansion.most, 1), capacity + expansion.most
+        w = Window.partitionBy("mem_id", "section_id").orderBy("from_seq")
+        rows = rows.withColumn("__before", T.last_tokens(F.flatten(F.collect_list(T.last_tokens(F.col("tokens"), n)).over(w.rowsBetween(-n, -1))), n))
+        rows = rows.withColumn("__after", F.flatten(F.collect_list(F.slice("tokens", 1, m)).over(w.rowsBetween(1, m))))
+        rows = rows.withColumn("__base", F.col("from_seq") - F.size("__before")).withColumn("__ctx", F.concat("__before", "tokens", "__after"))
+
+    def starts(size: int) -> Column:
+        def at(t: Column, i: Column) -> Column:
+            found = F.lit(False)
+            for s in (s for s in stop_tokens if len(s) == size):
+                same = t == s[0]
+                for j in range(1, size):
+                    same = same & (F.get("__ctx", i + j) == s[j])
+                found = found | same
+            return F.when(found, i)
+
+        return F.filter(F.transform("__ctx", at), lambda i: i.isNotNull()).alias(f"s{size}")
+
+    keys = ["mem_id", "section_id"]
+    longs = ["from_seq", "to_seq", "section_from", "section_to", "__base"]
+    rows = rows.select(*keys, *(F.col(c).cast("long").alias(c) for c in longs), *(starts(n) for n in sizes))
+    least, most = expansion.least, expansion.most
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        f, to, lo, hi, base = (b.column(c).to_numpy(zero_copy_only=False) for c in longs)
+        first = -((lo - f) // stride)
+        n = np.maximum(-((lo - to) // stride) - first, 0)
+        row = np.repeat(np.arange(len(n)), n)
+        i = first[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        start = lo[row] + i * stride
+        lo, hi, base = lo[row], hi[row], base[row]
+        end = np.minimum(start + capacity, hi)
+        left, right = np.maximum(start - least, lo), np.minimum(end + least, hi)
+        p_from, p_to = np.maximum(start - most, lo), np.minimum(end + most, hi)
+        at = lambda x: row * WIDE + (x - base)
+        low, high = at(p_from), at(p_to)
+        best_l, best_r = np.full(len(row), -1), np.full(len(row), np.iinfo(np.int64).max)
+        for size in sizes:  # the latest or earliest start counts, then the longest or shortest stop
+            col = b.column(f"s{size}")
+            x = np.repeat(np.arange(len(n)), col.value_lengths().to_numpy(zero_copy_only=False)) * WIDE + col.flatten().to_numpy(zero_copy_only=False)
+            x = np.concatenate([[-WIDE], x, [np.iinfo(np.int64).max - size]])
+            last = x[np.searchsorted(x[:-1], at(left) - size, "right") - 1]
+            ok = (last >= low) & (last >= best_l)
+            best_l, p_from = np.where(ok, last, best_l), np.where(ok, last + size - row * WIDE + base, p_from)
+            r = x[np.searchsorted(x, at(right), "left")]
+            ok = (r + size <= high) & (r < best_r)
+            best_r, p_to = np.where(ok, r, best_r), np.where(ok, r + size - row * WIDE + base, p_to)
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(i), pa.array(p_from), pa.array(p_to)], [*keys, "chunk_no", "p_from", "p_to"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = np.cumsum(b.column("to_seq").to_numpy(zero_copy_only=False) - b.column("from_seq").to_numpy(zero_copy_only=False)) // (stride * BATCH)
+            ends = [*(np.flatnonzero(np.diff(done)) + 1), len(done)]
+            for x, y in zip([0, *ends], ends, strict=False):
+                yield cut(b.slice(x, y - x))
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(scan, f"mem_id {kinds['mem_id']}, section_id {kinds['section_id']}, chunk_no long, p_from long, p_to long")
+
+
 def overlaps(included: Column, a: Column, b: Column, threshold: float) -> Column:
     """Whether [a, b) has an end among included token places and at least a share `threshold` of its tokens."""
     end = F.array_contains(included, a) | F.array_contains(included, b - 1)

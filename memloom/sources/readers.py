@@ -19,6 +19,12 @@ def knowledge(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("mem_id"), F.lit(0).cast("long").alias("ord"), "text", F.lit(0).cast("long").alias("section_id"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows, dealt out by a key where fewer than two tasks a core would read them, as from a file of one row group. Only footers are read to tell."""
+    filled = rows.select(F.spark_partition_id()).distinct().count()
+    return rows if filled >= 2 * rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(key)
+
+
 def long_articles(docs: DataFrame, least: int = 512) -> DataFrame:
     return docs.where(F.length("text") >= least)
 
