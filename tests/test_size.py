@@ -17,7 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["line", "section", "sentence"])
+@pytest.mark.parametrize("name", ["line", "section", "sentence", "paragraph"])
 def test_expansion_moves_no_tokens(spark, name):
     text = plan(queries.QUERIES[f"passage_expand_{name}"](spark, SF))
     assert "Join" not in text and "Aggregate" not in text and "Window" not in text
