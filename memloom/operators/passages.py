@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,12 @@ def _stops(arr: Column, stops: list[list[str]], last: bool) -> Column:
     return (F.array_max(found) if last else F.array_min(found))["end"]
 
 
-def expand(hits: DataFrame, tiles: DataFrame, expansion: Expansion, stride: int, stop_tokens: list[list[str]] | None = None) -> DataFrame:
+def expand(hits: DataFrame, tiles: DataFrame, expansion: Expansion, stride: int, stop_tokens: list[list[str]] | None = None, few: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """hits with p_from, p_to, p_tokens and passage of the expanded chunk.
 
     hits: mem_id, section_id, from_seq, to_seq, section_from, section_to, first_seq. tiles: the chunks, of which
     the first `stride` tokens of each make the section again; a passage joins the few it covers by key.
+    few: broadcasts the hits where the caller knows that they are few, so the tiles stay where they are.
     """
     if stop_tokens is None:
         stop_tokens = stops_of(expansion)
@@ -58,7 +59,7 @@ def expand(hits: DataFrame, tiles: DataFrame, expansion: Expansion, stride: int,
     if not {"chunk_no", "chunk_id"} & set(keys):
         keys = [c for c in hits.columns if not dict(hits.dtypes)[c].startswith("map")]
     rest = [c for c in [*hits.columns, "__a", "__b", "__lo", "__hi"] if c not in keys]
-    got = need.join(t, ["mem_id", "section_id", "chunk_no_"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk_no_", "__tile"))).alias("__tiles"), *(F.first(c).alias(c) for c in rest))
+    got = few(need).join(t, ["mem_id", "section_id", "chunk_no_"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk_no_", "__tile"))).alias("__tiles"), *(F.first(c).alias(c) for c in rest))
     offset = F.col("section_from") + F.element_at("__tiles", 1)["chunk_no_"] * stride
     all_ = F.flatten(F.transform("__tiles", lambda x: x["__tile"]))
     got = got.withColumn("__all", all_).withColumn("__off", offset)
@@ -84,11 +85,11 @@ def expand_all(placed: DataFrame, expansion: Expansion, capacity: int, stride: i
     if stop_tokens is None:
         stop_tokens = stops_of(expansion)
     sizes = sorted({len(s) for s in stop_tokens})
-    rows = placed.where("n_tokens > 0").withColumn("__base", F.col("from_seq")).withColumn("__ctx", F.col("tokens"))
+    rows = placed.withColumn("__base", F.col("from_seq")).withColumn("__ctx", F.col("tokens"))
     if sizes and not alone:
         n, m = max(expansion.most, 1), capacity + expansion.most
         w = Window.partitionBy("mem_id", "section_id").orderBy("from_seq")
-        rows = rows.withColumn("__before", T.last_tokens(F.flatten(F.collect_list(T.last_tokens(F.col("tokens"), n)).over(w.rowsBetween(-n, -1))), n))
+        rows = rows.where("n_tokens > 0").withColumn("__before", T.last_tokens(F.flatten(F.collect_list(T.last_tokens(F.col("tokens"), n)).over(w.rowsBetween(-n, -1))), n))
         rows = rows.withColumn("__after", F.flatten(F.collect_list(F.slice("tokens", 1, m)).over(w.rowsBetween(1, m))))
         rows = rows.withColumn("__base", F.col("from_seq") - F.size("__before")).withColumn("__ctx", F.concat("__before", "tokens", "__after"))
 

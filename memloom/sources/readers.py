@@ -22,7 +22,8 @@ def knowledge(docs: DataFrame) -> DataFrame:
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """rows, dealt out by a key where fewer than two tasks a core would read them, as from a file of one row group. Only footers are read to tell."""
     filled = rows.select(F.spark_partition_id()).distinct().count()
-    return rows if filled >= 2 * rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(key)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if filled >= 2 * cores else rows.repartition(4 * cores, key)
 
 
 def long_articles(docs: DataFrame, least: int = 512) -> DataFrame:

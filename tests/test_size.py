@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from memloom import agent_queries, queries
 from memloom.config import Expansion
-from memloom.operators import ingest, passages
+from memloom.operators import ingest, passages, vectors
 
 assert agent_queries
 
@@ -36,3 +37,34 @@ def test_expand_all(spark, least, most, stops):
     want = passages.expand(k.drop("tokens", "text_keys"), k, e, 4, stops).select(cols)
     got = passages.expand_all(placed, e, 6, 4, stops).select(cols)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("name", ["retrieve_topk"])
+def test_search_stores_no_vectors(spark, name):
+    """Only hits and the chunks of their memories are stored, not the corpus and its vectors."""
+    stored = [x for x in plan(queries.QUERIES[name](spark, SF)).splitlines() if "InMemoryRelation" in x]
+    assert stored and not any("embedding" in x for x in stored)
+
+
+def test_nearest(spark):
+    """Ids that repeat in and across batches, ties, and vectors that are not numbers: what brute force finds."""
+    r = np.random.default_rng(3)
+    ids, v = r.integers(0, 90, 400), r.integers(-2, 3, (400, 6)) * 100.0
+    v[r.random(400) < 0.7, 2] = np.nan
+    q = np.concatenate([r.integers(-2, 3, (9, 6)) * 100.0, v[~np.isnan(v).any(1)][:3]])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        store = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "id long, embedding array<double>").repartition(3)
+        asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<double>")
+        got = {(x.query_id, x["rank"]): (x.id, x.distance) for x in vectors.nearest(store, asked, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for i, x in enumerate(q):
+        near = {}
+        for j, d in zip(ids, ((v - x) ** 2).sum(1), strict=True):
+            if not np.isnan(d):
+                near[int(j)] = min(d, near.get(int(j), np.inf))
+        want |= {(i, n + 1): y for n, y in enumerate(sorted(near.items(), key=lambda y: (y[1], y[0]))[:7])}
+    assert got == want
