@@ -39,7 +39,7 @@ def test_expand_all(spark, least, most, stops):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-@pytest.mark.parametrize("name", ["retrieve_topk", "retrieve_matched"])
+@pytest.mark.parametrize("name", ["retrieve_topk", "retrieve_matched", "acc_at_k"])
 def test_search_stores_no_vectors(spark, name):
     """Only hits and the chunks of their memories are stored, not the corpus and its vectors."""
     stored = [x for x in plan(queries.QUERIES[name](spark, SF)).splitlines() if "InMemoryRelation" in x]
