@@ -9,7 +9,7 @@ from .functions import text as T
 from .models import TextModel
 from .operators import ingest
 from .plans import sessions
-from .queries import DOC_TOK, TOK, _doc_chunks, _messages, query, table
+from .queries import DOC_TOK, STRIDE, TOK, C, _doc_placed, _messages, query, table
 from .sources import questions as Q
 from .sources import readers
 
@@ -42,7 +42,7 @@ def multi_key_distance(spark, sf_dir):
 @query(DOC_TOK + "select mem_id, chunk_no from k where chunk_no % 3 = 0 or to_seq - from_seq < 24")
 def dirty_chunks(spark, sf_dir):
     """Chunks to embed where two of three are indexed, as if all were full."""
-    k = _doc_chunks(spark, sf_dir)
+    k = ingest.bounds(_doc_placed(spark, sf_dir), C, STRIDE)
     done = k.where("chunk_no % 3 <> 0").select("mem_id", "section_id", "chunk_no", F.lit(24).cast("long").alias("n_indexed"))
     return ingest.dirty_chunks(k, done).select("mem_id", "chunk_no")
 

@@ -86,3 +86,9 @@ def test_numbers_alone(spark):
     assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
     cols = ["mem_id", "chunk_no", "from_seq", "to_seq", "text", "text_keys"]
     assert sorted(ingest.chunks(alone, 6, 4, alone=True).select(cols).collect()) == sorted(ingest.chunks(ingest.place(texts), 6, 4).select(cols).collect())
+
+
+def test_dirty_chunks_joins_bounds_alone(spark):
+    """Chunks to embed are told from bounds: one join of keys, and nothing else holds rows."""
+    text = plan(queries.QUERIES["dirty_chunks"](spark, SF))
+    assert text.count("Join") == 1 and "Aggregate" not in text and "Window" not in text
